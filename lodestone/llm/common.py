@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,14 @@ def crc_fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def let(x: Column, *steps: Callable[[Column], Column]) -> Column:
+    """x through the steps in turn; each step's value is computed once however often the next one reads it."""
+    out = F.array(x)
+    for step in steps:
+        out = F.transform(out, step)
+    return F.get(out, F.lit(0))
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder that the session names; a local folder only where it names none."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -78,3 +88,20 @@ def joined(array: Column) -> Column:
 
 def count_kind(array: Column, kind: str) -> Column:
     return F.size(F.filter(array, lambda s: s["kind"] == kind)).cast("long")
+
+
+#: Rows of ids that a broadcast may hold: 16 MB at most. Beyond it the same join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def only(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """The rows of df whose col is in ids (settled, distinct, one column named col): broadcast while it is small, by
+    count, shuffled otherwise."""
+    small = ids.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(ids) if small else ids, col, "left_semi")
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that the shuffle files of finished steps are deleted now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, text_of, words_of
+from lodestone.llm.common import WORD, let, text_of, words_of
 
 #: Rows of the sample on which costs and selectivities are estimated.
 SAMPLE_ROWS = 256
@@ -28,28 +28,33 @@ SYMBOLS = r"[#*$%&|<>]"
 
 def n_dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+    return let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)), lambda lines: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
+
+
+def n_runs(words: Column) -> Column:
+    """Words equal to the one before."""
+    return let(words, lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))).cast("long"))
 
 
 def window_hashes(words: Column, k: int = 5) -> Column:
     """A 64-bit hash of each window of k words."""
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
+    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+    return let(words, lambda w: F.when(F.size(w) >= k, hashes(w)).otherwise(F.array().cast("array<bigint>")))
 
 
-def n_covered(hashes: Column, k: int = 5) -> Column:
-    """Words in windows whose hash occurs twice or more, the first included. Windows are sorted by (hash, place), so
-    equal ones are neighbours; each marked place adds the words up to the next marked place, k at most."""
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def n_repeat_words(hashes: Column, k: int = 5) -> Column:
+    """Words in windows whose hash occurs twice or more, the first included. Only where a hash repeats are windows
+    sorted by (hash, place): equal ones are then neighbours, and each marked place adds the words up to the next marked
+    place, k at most."""
+    pairs = lambda h: F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     twin = lambda s, x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False))
-    marked = F.transform(F.array(pairs), lambda s: F.sort_array(F.transform(F.filter(s, lambda x, j: twin(s, x, j)), lambda x: x["i"])))
-    spread = F.transform(marked, lambda m: F.aggregate(F.transform(m, lambda p, j: F.least(F.lit(k), F.coalesce(F.get(m, j + 1) - p, F.lit(k)))), F.lit(0), lambda a, x: a + x))
-    return F.get(spread, F.lit(0)).cast("long")
+    marked = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, j: twin(s, x, j)), lambda x: x["i"]))
+    spread = lambda m: F.aggregate(F.transform(m, lambda p, j: F.least(F.lit(k), F.coalesce(F.get(m, j + 1) - p, F.lit(k)))), F.lit(0), lambda a, x: a + x).cast("long")
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(h, pairs, marked, spread)))
 
 
 def features(text: Column, words: Column) -> dict[str, Column]:
     """Every statistic that a rule may read, as expressions over a text and its words."""
-    hashes = window_hashes(words)
     return {
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
@@ -57,20 +62,15 @@ def features(text: Column, words: Column) -> dict[str, Column]:
         "n_dup_lines": n_dup_lines(text),
         "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long"),
         "n_bang": F.regexp_count(text, F.lit("!")).cast("long"),
-        "n_runs": F.size(F.filter(words, lambda w, i: (i > 0) & (w == F.get(words, i - 1)))).cast("long"),
-        "n_repeat_words": F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(n_covered(hashes)),
+        "n_runs": n_runs(words),
+        "n_repeat_words": n_repeat_words(window_hashes(words)),
     }
 
 
 def measure(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns in keep and every statistic of features(), a row for each row of docs. The texts are split and the
-    windows hashed once: later columns read both from the projection below."""
+    """The columns in keep and every statistic of features(), a row for each row of docs; each text is split once."""
     base = docs.select(*keep, text_of().alias("_t")).select(*keep, "_t", words_of(F.col("_t")).alias("_w"))
-    seen = features(F.col("_t"), F.col("_w"))
-    last = seen.pop("n_repeat_words")
-    base = base.select(*keep, *[c.alias(k) for k, c in seen.items()], window_hashes(F.col("_w")).alias("_h"))
-    last = F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.lit(0).cast("long")).otherwise(n_covered(F.col("_h")))
-    return base.withColumn("n_repeat_words", last).drop("_h")
+    return base.select(*keep, *[c.alias(k) for k, c in features(F.col("_t"), F.col("_w")).items()])
 
 
 @dataclass(frozen=True)

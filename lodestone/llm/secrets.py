@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import count_kind, joined, places, text_of
+from lodestone.llm.common import count_kind, joined, let, places, text_of
 
 BASE = ("assign", "access", "hex")
 #: The base patterns. Runs shorter than a kind's least length are no match of it.
@@ -44,14 +44,6 @@ ENCODINGS = (
 LENGTHS, BINS, RATE = (32, 48, 64, 128), 200, 0.05
 
 
-def let(x: Column, *steps: Callable[[Column], Column]) -> Column:
-    """x through the steps in turn; each step's value is computed once however often the next one reads it."""
-    out = F.array(x)
-    for step in steps:
-        out = F.transform(out, step)
-    return F.get(out, F.lit(0))
-
-
 def fields(**columns: Column) -> Column:
     return F.struct(*[c.alias(k) for k, c in columns.items()])
 
