@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -102,6 +103,9 @@ def only(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver collect its garbage, so that the shuffle files of finished steps are deleted now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver collect its garbage, so that the shuffle files of finished steps are deleted now: once for what
+    Python has let go of, once for what the JVM then has."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

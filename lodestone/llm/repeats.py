@@ -148,6 +148,27 @@ def table(rows: list[tuple]) -> pa.RecordBatch:
 MARK, DEAL, ASKED = 1, 0, 2
 
 
+#: Bytes that a dealt row keeps of its anchor (above the shard's own part of it), segment hash, place and windows, each
+#: byte of all rows together; a clash of anchors costs a needless request, and segments are told apart by both.
+WIDTHS = (5, 6, 4, 1)
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(c, "<u8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for c, w in zip(columns, WIDTHS))
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // sum(WIDTHS)
+    planes = np.frombuffer(raw, np.uint8).reshape(sum(WIDTHS), n)
+    out, k = np.zeros(n, ROW), 0
+    for name, w in zip(("anchor", "segment", "at", "n"), WIDTHS):
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :w] = planes[k : k + w].T
+        out[name] = full.view("<u8")[:, 0]
+        k += w
+    return out
+
+
 def dealer(p: int):
     """Rows of segments by shard (DEAL), and marks that a chunk settles itself (MARK)."""
 
@@ -168,63 +189,66 @@ def dealer(p: int):
             again = ids[doc] > least
             at = start - begins[doc]
             out = [(int(docs[d][1] % p), MARK, docs[d][0], docs[d][1], None, v) for d, v in by_doc(doc[again], ranges(at[again], n[again]))]
-            kept = np.empty(int((~again).sum()), ROW)
-            for name, x in (("anchor", anchor), ("segment", segment), ("doc", doc), ("at", at), ("n", n)):
-                kept[name] = x[~again]
-            shard = (kept["anchor"] % np.uint64(p)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            kept, shard = kept[order], shard[order]
+            anchor, segment, doc, at, n = (x[~again] for x in (anchor, segment, doc, at, n))
+            shard = (anchor % np.uint64(p)).astype(np.int64)
+            order = np.lexsort((at, doc, shard))
+            anchor, segment, doc, at, n, shard = (x[order] for x in (anchor // np.uint64(p), segment, doc, at, n, shard))
             cuts = np.searchsorted(shard, np.arange(p + 1))
             for s in np.flatnonzero(np.diff(cuts)):
-                part = kept[cuts[s] : cuts[s + 1]].copy()
-                own, part["doc"] = np.unique(part["doc"], return_inverse=True)
-                names = np.array([docs[d][:2] for d in own], "<i8")
-                out.append((int(s), DEAL, None, None, names.tobytes(), part.tobytes()))
+                a = slice(cuts[s], cuts[s + 1])
+                own, which = np.unique(doc[a], return_counts=True)
+                names = np.array([(*docs[d][:2], k) for d, k in zip(own, which)], "<i8")
+                out.append((int(s), DEAL, None, None, names.tobytes(), packed(anchor[a], segment[a], at[a], n[a])))
             yield table(out)
 
     return run
 
 
-def settler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def settler(p: int):
     """A partition of shards: marks pass; equal segments collapse; segments that share an anchor are asked for."""
-    names, parts, base = [], [], 0
-    for batch in batches:
-        b = batch.to_pydict()
-        out = []
-        for i, kind in enumerate(b["kind"]):
-            if kind == MARK:
-                out.append((b["shard"][i], MARK, b["d"][i], b["h"][i], None, b["rows"][i]))
-            else:
-                own = np.frombuffer(b["docs"][i], "<i8").reshape(-1, 2)
-                part = np.frombuffer(b["rows"][i], ROW).copy()
-                part["doc"] += base
-                names.append(own)
-                parts.append(part)
-                base += len(own)
-        if out:
-            yield table(out)
-    if not parts:
-        return
-    who, rows = np.concatenate(names), np.concatenate(parts)
-    del names, parts
-    ids = who[:, 0]
-    order = np.lexsort((rows["at"], ids[rows["doc"]], rows["segment"], rows["anchor"]))
-    rows = rows[order]
-    fresh_anchor = np.concatenate([[True], rows["anchor"][1:] != rows["anchor"][:-1]])
-    fresh = fresh_anchor | np.concatenate([[True], rows["segment"][1:] != rows["segment"][:-1]])
-    firsts = np.flatnonzero(fresh)
-    own = ids[rows["doc"]]
-    again = own > own[firsts][np.cumsum(fresh) - 1]
-    out = [(0, MARK, int(who[d, 0]), int(who[d, 1]), None, v) for d, v in by_doc(rows["doc"][again], ranges(rows["at"][again].astype(np.int64), rows["n"][again].astype(np.int64)))]
-    yield table(out)
-    starts = np.flatnonzero(fresh_anchor)
-    different = np.add.reduceat(fresh.astype(int), starts) > 1
-    several = np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)
-    wanted = (different & several)[np.cumsum(fresh_anchor) - 1] & ~again
-    asks = np.empty(int(wanted.sum()), ASK)
-    for name in ("anchor", "at", "n"):
-        asks[name] = rows[name][wanted]
-    yield table([(0, ASKED, int(who[d, 0]), int(who[d, 1]), None, v) for d, v in by_doc(rows["doc"][wanted], asks)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, parts, base = [], [], 0
+        for batch in batches:
+            b = batch.to_pydict()
+            out = []
+            for i, kind in enumerate(b["kind"]):
+                if kind == MARK:
+                    out.append((b["shard"][i], MARK, b["d"][i], b["h"][i], None, b["rows"][i]))
+                else:
+                    own = np.frombuffer(b["docs"][i], "<i8").reshape(-1, 3)
+                    part = unpacked(b["rows"][i])
+                    part["doc"] = np.repeat(np.arange(base, base + len(own)), own[:, 2])
+                    part["anchor"] = part["anchor"] * np.uint64(p) + np.uint64(b["shard"][i])
+                    names.append(own)
+                    parts.append(part)
+                    base += len(own)
+            if out:
+                yield table(out)
+        if not parts:
+            return
+        who, rows = np.concatenate(names), np.concatenate(parts)
+        del names, parts
+        ids = who[:, 0]
+        order = np.lexsort((rows["at"], ids[rows["doc"]], rows["segment"], rows["anchor"]))
+        rows = rows[order]
+        fresh_anchor = np.concatenate([[True], rows["anchor"][1:] != rows["anchor"][:-1]])
+        fresh = fresh_anchor | np.concatenate([[True], rows["segment"][1:] != rows["segment"][:-1]])
+        firsts = np.flatnonzero(fresh)
+        own = ids[rows["doc"]]
+        again = own > own[firsts][np.cumsum(fresh) - 1]
+        out = [(0, MARK, int(who[d, 0]), int(who[d, 1]), None, v) for d, v in by_doc(rows["doc"][again], ranges(rows["at"][again].astype(np.int64), rows["n"][again].astype(np.int64)))]
+        yield table(out)
+        starts = np.flatnonzero(fresh_anchor)
+        different = np.add.reduceat(fresh.astype(int), starts) > 1
+        several = np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)
+        wanted = (different & several)[np.cumsum(fresh_anchor) - 1] & ~again
+        asks = np.empty(int(wanted.sum()), ASK)
+        for name in ("anchor", "at", "n"):
+            asks[name] = rows[name][wanted]
+        yield table([(0, ASKED, int(who[d, 0]), int(who[d, 1]), None, v) for d, v in by_doc(rows["doc"][wanted], asks)])
+
+    return run
 
 
 def fetcher(p: int):
@@ -381,10 +405,10 @@ def marks(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     p = shards(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
-    found = settle(keyed.mapInArrow(dealer(p), OUT).repartition(p, "shard").mapInArrow(settler, OUT).select("kind", "d", "h", "rows"))
+    found = settle(keyed.mapInArrow(dealer(p), OUT).repartition(p, "shard").mapInArrow(settler(p), OUT).select("kind", "d", "h", "rows"))
     release(spark)
     asks = found.where(F.col("kind") == ASKED).groupBy("d", "h").agg(F.collect_list("rows").alias("asks"))
-    wanted = keyed.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("d"), "h", "text").dropDuplicates(["d", "h"]).join(asks, ["d", "h"])
+    wanted = keyed.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("d"), "h", "text").join(asks, ["d", "h"])
     more = wanted.mapInArrow(fetcher(p), OUT).repartition(p, "shard").mapInArrow(indexer, OUT)
     more = settle(more.select("kind", "d", "h", "rows"))
     release(spark)
