@@ -35,9 +35,10 @@ from lodestone.llm.neardup import GOLDEN, mix64
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
-CHUNK, BLOCK = 3_000_000, 2_000_000
+CHUNK, PIECE, BLOCK = 3_000_000, 200_000, 400_000
+SIDE = (LENGTH - GRAM) // 2
 LAST = np.iinfo(np.int64).max
-ROW = np.dtype([("anchor", "<u8"), ("segment", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "u1")])
+ROW = np.dtype([("anchor", "<u8"), ("segment", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "u1"), ("before", "u1"), ("after", "u1")])
 ASK = np.dtype([("anchor", "<u8"), ("at", "<u4"), ("n", "u1")])
 RANGE = np.dtype([("start", "<u4"), ("end", "<u4")])
 _rng = np.random.default_rng(20240607)
@@ -52,17 +53,30 @@ def powers(b: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
+def cached_powers(b: np.uint64, n: int) -> np.ndarray:
+    if len(_powers.get(int(b), ())) < n:
+        _powers[int(b)] = powers(b, max(n, 2 * PIECE))
+    return _powers[int(b)][:n]
+
+
 class Hasher:
     """Hashes of substrings of data: polynomial over random byte values modulo 2^64, then mixed with the length."""
 
     def __init__(self, data: np.ndarray):
-        self.up = powers(BASE, len(data) + 1)
+        self.up = cached_powers(BASE, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTES[data] * powers(INVERSE, len(data)), out=self.sums[1:])
+        np.cumsum(BYTES[data] * cached_powers(INVERSE, len(data)), out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.up[start] + (end - start).astype(np.uint64) * GOLDEN)
 
+    def grams(self, k: int) -> np.ndarray:
+        """Of every k neighbours."""
+        return mix64((self.sums[k:] - self.sums[:-k]) * self.up[: len(self.sums) - k] + np.uint64(k) * GOLDEN)
+
 
 def sliding(x: np.ndarray, w: int, best) -> np.ndarray:
     """best over each w neighbours."""
@@ -74,36 +88,54 @@ def sliding(x: np.ndarray, w: int, best) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of documents laid end to end: for each segment its anchor's hash, its own hash, its first window's place in data
-    and its number of windows."""
-    none = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    """Of documents laid end to end: for each segment its anchor's hash, its own hash, its first window's place in data,
+    its number of windows, and a byte of the hash of the SIDE bytes before and after the anchor, 0 where the document
+    has fewer."""
+    none = (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 4
     if len(data) < LENGTH:
         return none
     h = Hasher(data)
-    at = np.arange(len(data) - GRAM + 1)
-    gram = h(at, at + GRAM)
+    gram = h.grams(GRAM)
     low = sliding(gram, SPAN, np.minimum)
-    windows = np.arange(len(low))
-    owner = np.searchsorted(ends, windows, "right")
-    windows = windows[windows + LENGTH <= ends[owner]]
+    begins = np.concatenate([[0], ends[:-1]])
+    last = np.repeat(ends, ends - begins)
+    windows = np.flatnonzero(np.arange(LENGTH, LENGTH + len(low)) <= last[: len(low)])
     if not len(windows):
         return none
-    low = low[windows]
-    place = windows.copy()
-    wrong = np.flatnonzero(gram[place] != low)
-    chosen = np.zeros(len(gram), bool)
     # a gram is chosen if it is the least of a window; walk each window to its first chosen gram of the least hash
-    top = sliding(np.concatenate([np.zeros(SPAN - 1, np.uint64), sliding(gram, SPAN, np.minimum), np.zeros(SPAN - 1, np.uint64)]), SPAN, np.maximum)
-    chosen[top == gram] = True
-    after = np.minimum.accumulate(np.where(chosen, np.arange(len(gram)), len(gram))[::-1])[::-1]
-    after = np.append(after, len(gram))
+    edge = np.zeros(SPAN - 1, np.uint64)
+    chosen = np.flatnonzero(sliding(np.concatenate([edge, low, edge]), SPAN, np.maximum) == gram)
+    low = low[windows]
+    j = np.searchsorted(chosen, windows)
+    wrong = np.flatnonzero(gram[chosen[j]] != low)
     while len(wrong):
-        place[wrong] = after[place[wrong] + 1]
-        wrong = wrong[gram[place[wrong]] != low[wrong]]
-    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)]))
+        j[wrong] += 1
+        wrong = wrong[gram[chosen[j[wrong]]] != low[wrong]]
+    first = np.flatnonzero(np.concatenate([[True], (j[1:] != j[:-1]) | (windows[1:] != windows[:-1] + 1)]))
     n = np.diff(np.append(first, len(windows)))
-    start = windows[first]
-    return gram[place[first]], h(start, start + n + LENGTH - 1), start, n
+    start, place = windows[first], chosen[j[first]]
+    doc = np.searchsorted(ends, start, "right")
+
+    def side(a: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        a = np.where(fits, a, 0)
+        return np.where(fits, (h(a, a + SIDE) % np.uint64(255)).astype(np.int64) + 1, 0)
+
+    before, after = side(place - SIDE, place - SIDE >= begins[doc]), side(place + GRAM, place + GRAM + SIDE <= ends[doc])
+    return gram[place], h(start, start + n + LENGTH - 1), start, n, before, after
+
+
+def all_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """anchors() of many texts, PIECE bytes at a time; places count from the first text's start."""
+    out, base, i = [], 0, 0
+    while i < len(texts):
+        j, total = i, 0
+        while j < len(texts) and total < PIECE:
+            total += len(texts[j])
+            j += 1
+        a = anchors(np.frombuffer(b"".join(texts[i:j]), np.uint8), np.cumsum([len(t) for t in texts[i:j]]))
+        out.append((*a[:2], a[2] + base, *a[3:]))
+        base, i = base + total, j
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
@@ -148,9 +180,9 @@ def table(rows: list[tuple]) -> pa.RecordBatch:
 MARK, DEAL, ASKED = 1, 0, 2
 
 
-#: Bytes that a dealt row keeps of its anchor (above the shard's own part of it), segment hash, place and windows, each
-#: byte of all rows together; a clash of anchors costs a needless request, and segments are told apart by both.
-WIDTHS = (5, 6, 4, 1)
+#: Bytes that a dealt row keeps of its anchor (above the shard's own part of it), segment hash, place, windows and sides,
+#: each byte of all rows together; a clash of anchors costs a needless request, and segments are told apart by both.
+WIDTHS = (5, 6, 4, 1, 1, 1)
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -161,7 +193,7 @@ def unpacked(raw: bytes) -> np.ndarray:
     n = len(raw) // sum(WIDTHS)
     planes = np.frombuffer(raw, np.uint8).reshape(sum(WIDTHS), n)
     out, k = np.zeros(n, ROW), 0
-    for name, w in zip(("anchor", "segment", "at", "n"), WIDTHS):
+    for name, w in zip(("anchor", "segment", "at", "n", "before", "after"), WIDTHS):
         full = np.zeros((n, 8), np.uint8)
         full[:, :w] = planes[k : k + w].T
         out[name] = full.view("<u8")[:, 0]
@@ -179,26 +211,26 @@ def dealer(p: int):
                 continue
             ends = np.cumsum([len(x[2]) for x in docs])
             begins = np.concatenate([[0], ends[:-1]])
-            anchor, segment, start, n = anchors(np.frombuffer(b"".join(x[2] for x in docs), np.uint8), ends)
+            anchor, segment, start, n, before, after = all_anchors([x[2] for x in docs])
             doc = np.searchsorted(ends, start, "right")
             ids = np.array([x[0] for x in docs], np.int64)
-            order = np.lexsort((start, segment, anchor))
-            anchor, segment, start, n, doc = (x[order] for x in (anchor, segment, start, n, doc))
+            order = np.lexsort((segment, anchor))
+            anchor, segment, start, n, doc, before, after = (x[order] for x in (anchor, segment, start, n, doc, before, after))
             new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])]) if len(anchor) else np.empty(0, bool)
             least = ids[doc[np.flatnonzero(new)]][np.cumsum(new) - 1] if len(anchor) else ids[:0]
             again = ids[doc] > least
             at = start - begins[doc]
             out = [(int(docs[d][1] % p), MARK, docs[d][0], docs[d][1], None, v) for d, v in by_doc(doc[again], ranges(at[again], n[again]))]
-            anchor, segment, doc, at, n = (x[~again] for x in (anchor, segment, doc, at, n))
+            anchor, segment, doc, at, n, before, after = (x[~again] for x in (anchor, segment, doc, at, n, before, after))
             shard = (anchor % np.uint64(p)).astype(np.int64)
             order = np.lexsort((at, doc, shard))
-            anchor, segment, doc, at, n, shard = (x[order] for x in (anchor // np.uint64(p), segment, doc, at, n, shard))
+            anchor, segment, doc, at, n, before, after, shard = (x[order] for x in (anchor // np.uint64(p), segment, doc, at, n, before, after, shard))
             cuts = np.searchsorted(shard, np.arange(p + 1))
             for s in np.flatnonzero(np.diff(cuts)):
                 a = slice(cuts[s], cuts[s + 1])
                 own, which = np.unique(doc[a], return_counts=True)
                 names = np.array([(*docs[d][:2], k) for d, k in zip(own, which)], "<i8")
-                out.append((int(s), DEAL, None, None, names.tobytes(), packed(anchor[a], segment[a], at[a], n[a])))
+                out.append((int(s), DEAL, None, None, names.tobytes(), packed(anchor[a], segment[a], at[a], n[a], before[a], after[a])))
             yield table(out)
 
     return run
@@ -230,19 +262,25 @@ def settler(p: int):
         who, rows = np.concatenate(names), np.concatenate(parts)
         del names, parts
         ids = who[:, 0]
-        order = np.lexsort((rows["at"], ids[rows["doc"]], rows["segment"], rows["anchor"]))
-        rows = rows[order]
-        fresh_anchor = np.concatenate([[True], rows["anchor"][1:] != rows["anchor"][:-1]])
-        fresh = fresh_anchor | np.concatenate([[True], rows["segment"][1:] != rows["segment"][:-1]])
-        firsts = np.flatnonzero(fresh)
+        rows = rows[np.argsort(rows["anchor"])]
+        lone = np.concatenate([[True], rows["anchor"][1:] != rows["anchor"][:-1]])
+        rows = rows[~(lone & np.append(lone[1:], True))]
+        if not len(rows):
+            return
+        rows = rows[np.lexsort((ids[rows["doc"]], rows["segment"], rows["anchor"]))]
+        fresh = np.concatenate([[True], (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["segment"][1:] != rows["segment"][:-1])])
         own = ids[rows["doc"]]
-        again = own > own[firsts][np.cumsum(fresh) - 1]
-        out = [(0, MARK, int(who[d, 0]), int(who[d, 1]), None, v) for d, v in by_doc(rows["doc"][again], ranges(rows["at"][again].astype(np.int64), rows["n"][again].astype(np.int64)))]
-        yield table(out)
-        starts = np.flatnonzero(fresh_anchor)
-        different = np.add.reduceat(fresh.astype(int), starts) > 1
-        several = np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)
-        wanted = (different & several)[np.cumsum(fresh_anchor) - 1] & ~again
+        again = own > own[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+        yield table([(0, MARK, int(who[d, 0]), int(who[d, 1]), None, v) for d, v in by_doc(rows["doc"][again], ranges(rows["at"][again].astype(np.int64), rows["n"][again].astype(np.int64)))])
+        rows, own = rows[~again], own[~again]
+        # a window of two different segments shares SIDE bytes before the anchor, or SIDE bytes after it
+        wanted = np.zeros(len(rows), bool)
+        for side in ("before", "after"):
+            key = rows["anchor"] * np.uint64(256) + rows[side]
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+            many = np.minimum.reduceat(own[order], starts) != np.maximum.reduceat(own[order], starts)
+            wanted[order] |= np.repeat(many, np.diff(np.append(starts, len(rows)))) & (rows[side][order] > 0)
         asks = np.empty(int(wanted.sum()), ASK)
         for name in ("anchor", "at", "n"):
             asks[name] = rows[name][wanted]
@@ -289,20 +327,25 @@ class RunIndex:
             y[: n - k] = x[k:]
             return np.where(room > k, y, 0)
 
-        rank = np.where(room > 0, text.astype(np.int64) + 1, 0)
-        k = 1
-        while k < 4:
-            rank = rank * (257**k) + later(rank, k)
-            k *= 2
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64) * 1
-        rank = np.where(room > 0, rank + 1, 0)
+        def dense(key: np.ndarray) -> np.ndarray:
+            """Ranks from 1 by key, 0 at the strings' ends."""
+            order = np.argsort(key)
+            ranked = key[order]
+            out = np.empty(n, np.int64)
+            out[order] = np.cumsum(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            return np.where(room > 0, out, 0)
+
+        one = np.where(room > 0, text.astype(np.int64) + 1, 0)
+        k, key = 7, one
+        for j in range(1, k):
+            key = key * 257 + later(one, j)
+        rank = dense(key)
         common = None
         longest = int(sizes.max(initial=1))
         while k < max(longest, length):
             if k * 2 >= length and common is None:
                 common = np.where(room >= length, rank * (n + 2) + later(rank, length - k), -1)
-            rank = np.unique(rank * (n + 2) + later(rank, k), return_inverse=True)[1].astype(np.int64)
-            rank = np.where(room > 0, rank + 1, 0)
+            rank = dense(rank * (n + 2) + later(rank, k))
             k *= 2
         rows = np.lexsort((owner, rank))
         before = np.where(rows > 0, text[rows - 1].astype(np.int64) + 1, 0)
