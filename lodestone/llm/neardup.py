@@ -11,7 +11,8 @@ Banding: BANDS bands of ROWS coordinates; two sets of similarity 0.8 share no ba
 Linking: documents of one shingle set are one class. Within a bucket no list of pairs is made: the class with most
 company across its buckets leads, every other is compared with it on the full sets, and components are merged. A
 leader leaves its buckets, a bucket ends when its rest lies in one component, and the next leader follows. After
-ROUNDS rounds, what pairs are left between different components of a bucket are compared each. Components come from
+the first round, entries that can have no partner by size and by elements of their own are dropped; after ROUNDS
+rounds, what pairs are left between different components of a bucket are compared each. Components come from
 alternating large-star and small-star steps; no link, set or label passes through the driver.
 
 Defined cases: no words or no text: an empty set, linked with nothing; rows of one doc_id are judged by their own
@@ -159,6 +160,30 @@ def labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def still_open(now: DataFrame) -> DataFrame:
+    """The entries (node, key, company, label, ...) of buckets that hold two components, with the leader and its label."""
+    rank = F.struct("company", -F.col("node"))
+    keys = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("node", rank).alias("lead"), F.max_by("label", rank).alias("lead_label")).where("lo <> hi")
+    return now.join(keys.drop("lo", "hi"), "key")
+
+
+def bounds(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, n (its set's size) and most (the largest partner it can have among nodes). Of its elements, the x that no
+    other of the nodes has are in no intersection: with a partner of size s the similarity is at most (n - x) / (s + x)."""
+    own = settle(sets.join(nodes, "node", "left_semi"))
+    lone = own.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    lone = lone.groupBy("node").agg(F.count("*").alias("x"))
+    size = own.groupBy("node").agg(F.min(F.size("items")).alias("n"), F.max(F.size("items")).alias("big"))
+    x = F.coalesce("x", F.lit(0))
+    return settle(size.join(lone, "node", "left").select("node", "n", (F.floor((F.col("big") - x) * 100 / percent) - x).alias("most")))
+
+
+def possible(now: DataFrame) -> DataFrame:
+    """Without the entries that can have no partner in their bucket, by the sizes in bounds()."""
+    keys = now.groupBy("key").agg(F.min("n").alias("_least"), F.max("most").alias("_most"))
+    return now.join(keys, "key").where("_least <= most and n <= _most").drop("_least", "_most")
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -172,20 +197,21 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     nodes = settle(entries.select("node").distinct())
     sets = settle(only(docs.withColumnRenamed("doc_id", "node"), nodes, "node").mapInArrow(setter(k), "node long, items array<long>").where(F.size("items") > 0).distinct())
 
-    labels = None
-    links = None
+    labels, links, limits = None, None, None
     for done in range(ROUNDS + 1):
         now = labelled(entries, labels)
-        open_keys = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("node", F.struct("company", -F.col("node"))).alias("lead"), F.max_by("label", F.struct("company", -F.col("node"))).alias("lead_label")).where("lo <> hi")
-        now = settle(now.join(open_keys.drop("lo", "hi"), "key"))
+        if labels is not None:
+            limits = bounds(settle(still_open(now).select("node").distinct()), sets, percent) if limits is None else limits
+            now = possible(now.join(limits, "node"))
+        now = settle(still_open(now))
         if now.isEmpty():
             break
         if done < ROUNDS:
             pairs = now.where("label <> lead_label").select(F.col("lead").alias("a"), F.col("node").alias("b"))
             entries = now.where("node <> lead").select("node", "key", "company")
         else:
-            left, right = now.select("key", F.col("node").alias("a"), F.col("label").alias("la")), now.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = left.join(right, "key").where("a < b and la <> lb").select("a", "b")
+            left, right = (now.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "n", "most")]) for side in "ab")
+            pairs = left.join(right, "key").where("node_a < node_b and label_a <> label_b and n_a <= most_b and n_b <= most_a").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         new = verified(settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), sets, percent)
         links = new if links is None else links.unionByName(new)
         labels = settle(components(links))
