@@ -12,7 +12,7 @@ Linking: documents of one shingle set are one class. Within a bucket no list of
 company across its buckets leads, every other is compared with it on the full sets, and components are merged. A
 leader leaves its buckets, a bucket ends when its rest lies in one component, and the next leader follows. After
 the first round, entries that can have no partner by size and by elements of their own are dropped; after ROUNDS
-rounds, what pairs are left between different components of a bucket are compared each. Components come from
+rounds, an exact prefix join over the nodes that are still open finds what pairs may be left. Components come from
 alternating large-star and small-star steps; no link, set or label passes through the driver.
 
 Defined cases: no words or no text: an empty set, linked with nothing; rows of one doc_id are judged by their own
@@ -184,6 +184,26 @@ def possible(now: DataFrame) -> DataFrame:
     return now.join(keys, "key").where("_least <= most and n <= _most").drop("_least", "_most")
 
 
+def rest_pairs(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of open nodes in different components that can still be similar enough, by an exact prefix join:
+    elements are ordered by how few of the nodes have them; the smaller set of a similar pair has one of its first
+    elements among the first ones of the larger, and at the first they share, what follows in either set must suffice
+    for the intersection that the pair needs."""
+    nodes = settle(now.groupBy("node").agg(F.min("label").alias("label"), F.min("most").alias("most")))
+    items = settle(sets.join(nodes.select("node"), "node", "left_semi").select("node", F.size("items").alias("n"), F.explode("items").alias("item")))
+    spread = items.groupBy("item").agg(F.count("*").alias("c"))
+    order = items.join(spread, "item").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("o"))
+    reach = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    order = order.join(nodes, "node").select("node", "label", "n", "most", F.posexplode(F.slice("o", F.lit(1), reach.cast("int"))).alias("i", "e"))
+    order = settle(order.where("e.c > 1").select("node", "label", "n", "most", "i", F.col("e.item").alias("item")))
+    inner = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
+    small = order.where(F.col("i") < inner).select("item", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "most", "i")])
+    large = order.select("item", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "most", "i")])
+    enough = F.expr("least(n_a - i_a, n_b - i_b)") * (100 + percent) >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))
+    fits = F.expr("label_a <> label_b and n_a <= n_b and n_a <= most_b and n_b <= most_a") & enough
+    return small.join(large, (small["item"] == large["item"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -210,8 +230,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             pairs = now.where("label <> lead_label").select(F.col("lead").alias("a"), F.col("node").alias("b"))
             entries = now.where("node <> lead").select("node", "key", "company")
         else:
-            left, right = (now.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "n", "most")]) for side in "ab")
-            pairs = left.join(right, "key").where("node_a < node_b and label_a <> label_b and n_a <= most_b and n_b <= most_a").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+            pairs = rest_pairs(now, sets, percent)
         new = verified(settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), sets, percent)
         links = new if links is None else links.unionByName(new)
         labels = settle(components(links))
