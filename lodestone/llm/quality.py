@@ -176,6 +176,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filter_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least threshold, all columns kept as they are."""
-    model = fit(measured(docs), labels)
-    df = with_statistics(docs)
+    df = settle(with_statistics(docs))  # a filter on them would otherwise be planned over the texts, statistic by statistic
+    model = fit(df.select("doc_id", *[f"_q_{n}" for n in NAMES]), labels)
     return df.where(model.score(prefixed()) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
