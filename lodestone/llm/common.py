@@ -98,8 +98,12 @@ BROADCAST_ROWS = 1_000_000
 def only(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     """The rows of df whose col is in ids (settled, distinct, one column named col): broadcast while it is small, by
     count, shuffled otherwise."""
-    small = ids.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if small else ids, col, "left_semi")
+    return df.join(sized(ids), col, "left_semi")
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """A settled table of a few columns, marked for broadcast where its count allows it."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def release(spark: SparkSession) -> None:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import only, settle
+from lodestone.llm.common import only, settle, sized
 
 BANDS, ROWS = 45, 6
 T = BANDS * ROWS
@@ -217,18 +217,18 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     nodes = settle(entries.select("node").distinct())
     sets = settle(only(docs.withColumnRenamed("doc_id", "node"), nodes, "node").mapInArrow(setter(k), "node long, items array<long>").where(F.size("items") > 0).distinct())
 
-    labels, links, limits = None, None, None
+    labels, links = None, None
     for done in range(ROUNDS + 1):
         now = labelled(entries, labels)
-        if labels is not None:
-            limits = bounds(settle(still_open(now).select("node").distinct()), sets, percent) if limits is None else limits
+        if done == 1:
+            limits = bounds(settle(still_open(now).select("node").distinct()), sets, percent)
             now = possible(now.join(limits, "node"))
         now = settle(still_open(now))
         if now.isEmpty():
             break
         if done < ROUNDS:
             pairs = now.where("label <> lead_label").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-            entries = now.where("node <> lead").select("node", "key", "company")
+            entries = now.where("node <> lead").select("node", "key", "company", *[c for c in ("n", "most") if c in now.columns])
         else:
             pairs = rest_pairs(now, sets, percent)
         new = verified(settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), sets, percent)
@@ -246,4 +246,4 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     go if none of them represents a component; rows of a null doc_id stay."""
     ids = link(docs, k, percent).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("_kept"))
     gone = settle(ids.where("not _kept").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(sized(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
