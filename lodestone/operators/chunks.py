@@ -39,7 +39,7 @@ def headed_sections(docs: DataFrame, heading: str = r"^#{1,4} ") -> DataFrame:
         return F.struct((acc["fenced"] != fence).alias("fenced"), out.alias("out"))
 
     rows = docs.select("doc_id", F.posexplode(F.aggregate(lines, start, add)["out"]).alias("section", "s"))
-    return rows.select("doc_id", "section", F.trim(F.regexp_replace("s.heading", "^#+", "")).alias("heading"), F.trim(F.col("s.body")).alias("text"))
+    return rows.select("doc_id", "section", F.trim(F.regexp_replace("s.heading", "^#+", "")).alias("heading"), F.regexp_replace("s.body", r"^\s+|\s+$", "").alias("text"))
 
 
 def chunk_quality(chunks: DataFrame, short: int = 50, long: int = 2000) -> DataFrame:
