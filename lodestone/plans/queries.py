@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import chunks, dense, filters, grounding, metrics, records, retrieval
+from lodestone.operators import answers, chunks, dense, enrich, filters, grounding, layout, metrics, records, retrieval, splits, traces
 from lodestone.sources import web
 from lodestone.streaming import metrics as stream
+from lodestone.streaming import state
 
 QUERIES, SQL = {}, {}
 TOK = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+(?:[.-][\p{L}\p{N}_]+)*'), lambda x: length(x) >= 2)"
@@ -219,3 +220,146 @@ def sessions(spark, sf_dir):
 @query("SELECT lang, source, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ROLLUP (lang, source)")
 def collection_report(spark, sf_dir):
     return read(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+COMPACT = r"trim(regexp_replace(text, '[ \t\r\n\x0b\x0c]+', ' ', 'g'))"
+LINES = f"l AS (SELECT doc_id, i - 1 AS line_no, string_split(text, chr(10))[i] AS text FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(documents.text, chr(10))) + 1)) AS i)), k AS (SELECT doc_id, line_no::INTEGER AS line_no, {COMPACT} AS c FROM l WHERE length({COMPACT}) > 0)"
+
+
+@query(f"""WITH {LINES} SELECT doc_id, line_no, CASE WHEN regexp_matches(c, '{layout.CAPTION}') THEN 'caption' WHEN regexp_matches(c, '{layout.CODE}') THEN 'code'
+WHEN len(regexp_extract_all(c, '{layout.FORMULA}')) >= greatest(2, length(c) // 8) THEN 'formula' WHEN regexp_matches(c, '{layout.LIST}') THEN 'list' ELSE 'paragraph' END AS kind FROM k""")
+def block_types(spark, sf_dir):
+    return layout.lines(read(spark, sf_dir, "documents")).select("doc_id", "line_no", layout.block_type(F.col("text")).alias("kind"))
+
+
+@query(f"""WITH e AS (SELECT DISTINCT source, doc_id, regexp_replace(lower({COMPACT.replace('text', 'line')}), '[0-9]+', '#', 'g') AS norm FROM (SELECT source, doc_id, string_split(text, chr(10))[1] AS line FROM documents)) SELECT source, norm, count(*) AS n_pages FROM e WHERE norm <> '' GROUP BY source, norm HAVING count(*) >= 2""")
+def repeated_headers(spark, sf_dir):
+    """The documents of a source as its pages, their first lines as the header band."""
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.split("text", "\n")[0].alias("text"))
+    return layout.repeated_edges(d).withColumnRenamed("doc_id", "source")
+
+
+@query(r"""WITH r AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}\p{P}+=<>$%^|~`]')) AS e, greatest(len(regexp_extract_all(text, '[^ \t\r\n]')), 1) AS s FROM documents) SELECT doc_id, round(e / s, 6) AS ratio, e / s >= 0.8 AND e >= 20 AS passes FROM r""")
+def page_quality(spark, sf_dir):
+    ratio, passes = layout.readable(F.col("text"), F.lit(1))
+    return read(spark, sf_dir, "documents").select("doc_id", ratio.alias("ratio"), passes.alias("passes"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders),
+c AS (SELECT o_custkey AS doc_id, n // 4 AS part, string_agg('| ' || o_orderkey || ' | x |', chr(10) ORDER BY n) AS body FROM o GROUP BY ALL)
+SELECT doc_id, part::INTEGER AS part, '| order | mark |' || chr(10) || '| --- | --- |' || chr(10) || body AS text FROM c""")
+def table_chunks(spark, sf_dir):
+    """A customer's orders as a markdown table, between two lines of prose, cut into parts of four rows."""
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ks"))
+    body = F.array_join(F.transform("ks", lambda k: F.concat(F.lit("| "), k.cast("string"), F.lit(" | x |"))), "\n")
+    d = o.select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("Orders\n| order | mark |\n| --- | --- |\n"), body, F.lit("\nend")).alias("text"))
+    return splits.table_chunks(d, rows=5).select("doc_id", "part", "text")
+
+
+@query()
+def recursive_chunks(spark, sf_dir):
+    return splits.recursive(read(spark, sf_dir, "documents"))
+
+
+@query()
+def parent_child_chunks(spark, sf_dir):
+    return splits.parent_child(read(spark, sf_dir, "documents"))
+
+
+@query()
+def sentence_chunks(spark, sf_dir):
+    return splits.sentence_chunks(read(spark, sf_dir, "documents"))
+
+
+@query()
+def code_chunks(spark, sf_dir):
+    """Every page's markup in a fence, by ten lines."""
+    p = read(spark, sf_dir, "pages")
+    return splits.code_chunks(p.select(F.col("page_id").alias("doc_id"), F.concat(F.lit("page\n```\n"), F.col("html"), F.lit("\n```\n")).alias("text")), lines=10)
+
+
+@query()
+def enriched(spark, sf_dir):
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", enrich.entities(t).alias("entities"), enrich.questions(tx.title(t), tx.summary(t)).alias("questions"), enrich.heading_path(t).alias("heading_path"))
+
+
+@query()
+def refined_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", enrich.refined(F.col("text")).alias("text"))
+
+
+@query("""WITH c AS (SELECT doc_id, source, (length(text) // 4 + 512) / 1000 * 0.002 AS cost FROM documents), s AS (SELECT *, round(sum(cost) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING), 8) AS spent FROM c) SELECT source, doc_id, spent FROM s WHERE spent <= 0.05""")
+def enrichment_budget(spark, sf_dir):
+    """The documents of a source, in order, that a model's budget pays for."""
+    cost = (F.floor(F.length("text") / 4) + 512) / 1000 * 0.002
+    return enrich.within_budget(read(spark, sf_dir, "documents"), "source", ["doc_id"], cost, 0.05).select("source", "doc_id", "spent")
+
+
+@query(f"""WITH {BM25}, h AS (SELECT query_id, doc_id, score, lower(b.text) AS q, lower(d.text) AS t, lower(d.source) AS s, lower(d.lang) AS l FROM bm JOIN benchmark b ON item_id = query_id JOIN documents d USING (doc_id) WHERE rank <= 10),
+w AS (SELECT *, regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_-]+') AS ts FROM h)
+SELECT query_id, doc_id, round(score * CASE WHEN len(list_filter(ts, lambda x: contains(s, x))) > 0 THEN 1.20::DOUBLE ELSE 1 END * CASE WHEN len(list_filter(ts, lambda x: contains(l, x))) > 0 THEN 1.15::DOUBLE * 1.10 ELSE 1 END * CASE WHEN contains(t, q) OR contains(s, q) OR contains(l, q) THEN 1.25::DOUBLE ELSE 1 END, 4) AS score FROM w""")
+def score_boost(spark, sf_dir):
+    """Source as title, language as heading and tag."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), "source", "lang")
+    both = bm25_list(spark, sf_dir, 10).join(d, "doc_id").join(questions(spark, sf_dir), "query_id")
+    s = answers.boosted(F.col("score"), F.col("text"), F.col("source"), F.col("lang"), F.col("lang"), F.col("body"))
+    return both.select("query_id", "doc_id", F.round(s, 4).alias("score"))
+
+
+@query(f"""WITH {BM25}, {OVER}, h AS (SELECT query_id, count(*) AS n, max(score) AS best, avg(score) AS mean, sum((score >= 0.35)::INTEGER) AS sup FROM ov WHERE rank <= 5 GROUP BY query_id),
+f AS (SELECT item_id AS query_id, coalesce(n, 0) AS n, coalesce(best, 0) AS best, coalesce(mean, 0) AS mean, coalesce(sup, 0) AS sup, length(text) AS len FROM benchmark LEFT JOIN h ON query_id = item_id),
+g AS (SELECT *, CASE WHEN n > 0 THEN sup / n ELSE 0 END AS cov, CASE WHEN n = 0 THEN 0 WHEN n < 3 OR best < 0.2 THEN 0.35 ELSE 1 END AS st FROM f),
+r AS (SELECT *, CASE WHEN n = 0 THEN 'NO_RETRIEVAL_RESULTS' WHEN best < 0.2 THEN 'LOW_RETRIEVAL_SCORE' WHEN cov = 0 THEN 'NO_VALID_CITATIONS' WHEN 1 - cov > 0.35 THEN 'UNSUPPORTED_GENERATED_CLAIMS' WHEN cov < 0.5 THEN 'NO_VALID_CITATIONS' END AS refusal FROM g)
+SELECT query_id, refusal, round(CASE WHEN refusal IS NOT NULL OR n = 0 THEN 0 ELSE best * 0.14::DOUBLE + mean * 0.10 + best * 0.12 + least(1, sup / 3) * 0.12 + cov * 0.18 + cov * 0.12 + CASE WHEN n > 1 THEN 1 ELSE 0.7 END * 0.08
+  + CASE WHEN len = 0 THEN 0 WHEN len <= 800 THEN 1 ELSE (1 - least(0.7, (len - 800) / 4000)) * (0.6 + 0.4 * cov) END * 0.04 + st * 0.06 + 0.04 END, 4)::DOUBLE AS confidence FROM r""")
+def answer_confidence(spark, sf_dir):
+    """The passage as the answer: contexts that hold 0.35 of its terms support it."""
+    hits = overlap_list(spark, sf_dir, 5)
+    got = hits.groupBy("query_id").agg(F.avg("score").alias("mean"), F.sum((F.col("score") >= 0.35).cast("int")).alias("sup"))
+    s = grounding.retrieval_status(hits, questions(spark, sf_dir), least=3).join(got, "query_id", "left").join(questions(spark, sf_dir), "query_id").na.fill(0, ["best", "mean", "sup"])
+    s = s.withColumn("cov", F.when(F.col("n") > 0, F.col("sup") / F.col("n")).otherwise(0.0))
+    no = F.lit(False)
+    s = s.withColumn("refusal", answers.refusal(F.col("n"), F.col("best"), F.col("cov"), 1 - F.col("cov"), F.col("n"), no, no, no))
+    c = answers.confidence(F.col("best"), F.col("mean"), F.col("sup"), F.col("cov"), 1 - F.col("cov"), F.col("n"), F.length("text"), F.col("status"), F.col("refusal").isNotNull(), F.lit(0))
+    return s.select("query_id", "refusal", c.alias("confidence"))
+
+
+@query()
+def answer_claims(spark, sf_dir):
+    """Every document as an answer."""
+    a = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), F.col("text").alias("answer"))
+    return answers.claims(a).select("answer_id", "claim", "text", F.size("citations").alias("n_citations"), "confidence")
+
+
+FIELD = r"([\w一-鿿]{2,20})[ \t\r\n\x0b\x0c]*[:：=][ \t\r\n\x0b\x0c]*([^,，。；; \t\r\n\x0b\x0c]+)"
+
+
+@query(f"""WITH f AS (SELECT source, doc_id, unnest(regexp_extract_all(text, '{FIELD}', 1)) AS value, unnest(regexp_extract_all(text, '{FIELD}', 2)) AS says FROM documents),
+s AS (SELECT source, doc_id, a || '/' || b AS value, unnest([a, b]) AS says, lower(text) AS t FROM documents, (VALUES {', '.join(f"('{a}', '{b}')" for a, b in answers.OPPOSITES)}) AS o(a, b)),
+u AS (SELECT source, doc_id, 'field_value' AS kind, value, says FROM f UNION ALL SELECT source, doc_id, 'status', value, says FROM s WHERE contains(t, says)),
+g AS (SELECT source, kind, value, says, min(doc_id) AS lo, max(doc_id) AS hi, count(DISTINCT doc_id) AS d FROM u GROUP BY ALL)
+SELECT source, kind, value, sum(d)::BIGINT AS n FROM g GROUP BY source, kind, value HAVING count(*) > 1 AND min(lo) < max(hi)""")
+def source_conflicts(spark, sf_dir):
+    """The documents of a source as its contexts."""
+    return answers.conflicts(read(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id", "text")).withColumnRenamed("query_id", "source")
+
+
+@query("SELECT user_id::VARCHAR AS trace_id, event_type AS stage, value AS duration FROM events")
+def trace_rows(spark, sf_dir):
+    """A user's events as the stages of a trace."""
+    s = F.struct(F.col("event_type").alias("stage"), F.col("value").alias("elapsed_ms"), F.lit(None).cast("string").alias("document_id"), F.array().cast("array<struct<document_id string, chunk_id string, preview string>>").alias("chunks"))
+    t = read(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("trace_id")).agg(F.collect_list(s).alias("stages"))
+    return traces.trace_rows(t.withColumns({"status": F.lit("ok"), "elapsed_ms": F.lit(0.0), "document_id": F.lit("")})).select("trace_id", "stage", "duration")
+
+
+@query("SELECT event_id FROM events WHERE ('0x' || sha256(event_id::VARCHAR)[:12])::BIGINT / 281474976710656 < 0.25")
+def sampled_traces(spark, sf_dir):
+    return read(spark, sf_dir, "events").where(traces.sampled(F.col("event_id").cast("string"), 0.25)).select("event_id")
+
+
+@query()
+def rate_limited(spark, sf_dir):
+    """At most two events of a user within six hours."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("event_id").alias("id"))
+    return state.rate_limited(e, 2, 6 * 3600e6).select("id", "allowed")
