@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, neardup, packing, pii, quality
-from lodestone.llm.common import settle, table
+from lodestone.llm.common import passing, settle, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = settle(docs)
-    return docs
+    with passing(spark) as last:  # a stage's input goes when the pipeline has been laid out, what is within a stage at its end
+        for _, stage in STAGES[:-1]:
+            with passing(spark) as keep:
+                docs = keep(settle(stage(spark, docs, sf_dir)))
+        return STAGES[-1][1](spark, last(docs), sf_dir)

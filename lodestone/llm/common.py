@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,12 +56,42 @@ def scratch(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/lodestone/{uuid.uuid4().hex}"
 
 
+#: The paths settled in the innermost passing() block.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def settle(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as Parquet into the shared scratch folder and read it back: its lineage ends there, and a lost
     executor costs no recomputation of what came before."""
     path = scratch(df.sparkSession)
+    if _passing.get() is not None:
+        _passing.get().append(path)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables settled in the block are deleted at its end, but for those given to the function it yields: these go to
+    the block around it, if there is one. Nothing lazy that reads a deleted table may leave the block."""
+    outer, paths = _passing.get(), []
+    token = _passing.set(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.remove(df._settled)
+        if outer is not None:
+            outer.append(df._settled)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shards(spark: SparkSession) -> int:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, settle, sized, text_of
+from lodestone.llm.common import WORD, passing, settle, sized, text_of
 
 WEIGHTS = (1.0, 2.0, 3.0)
 CAP = 3.0
@@ -85,8 +85,9 @@ def take(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them, all columns kept: a row for each whole copy, and for a copy in part a row whose text
     ends with the last word taken. Rows that agree in id, source and size are taken alike."""
     key = ["_id", "_source", "_size"]
-    taken = mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
-    taken = sized(settle(taken.where("_taken > 0")))
+    with passing(docs.sparkSession) as keep:
+        taken = mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
+        taken = sized(keep(settle(taken.where("_taken > 0"))))
     left = docs.withColumns({"_own_size": F.regexp_count(text_of(), F.lit(WORD)).cast("long")})
     both = left.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_own_size") == F.col("_size")))
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size"))))

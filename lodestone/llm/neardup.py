@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import only, settle, sized
+from lodestone.llm.common import only, passing, release, settle, sized
 
 BANDS, ROWS = 45, 6
 T = BANDS * ROWS
@@ -204,37 +204,50 @@ def rest_pairs(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return small.join(large, (small["item"] == large["item"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, a row for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = settle(docs.mapInArrow(sketcher(k), SCHEMA))
-    classes = settle(seen.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")).where("node is not null"))
+def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """node and label, settled, of every node of classes that has a link; None if there is no company at all."""
+    spark = docs.sparkSession
     entries = classes.select("node", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    entries = settle(entries.join(shared.select("key", "c"), "key"))
-    company = entries.groupBy("node").agg(F.sum("c").alias("company"))
-    entries = settle(entries.select("node", "key").distinct().join(company, "node"))
-    nodes = settle(entries.select("node").distinct())
-    sets = settle(only(docs.withColumnRenamed("doc_id", "node"), nodes, "node").mapInArrow(setter(k), "node long, items array<long>").where(F.size("items") > 0).distinct())
+    with passing(spark) as keep:
+        entries = settle(entries.join(shared.select("key", "c"), "key"))
+        company = entries.groupBy("node").agg(F.sum("c").alias("company"))
+        entries = keep(settle(entries.select("node", "key").distinct().join(company, "node")))
+        nodes = settle(entries.select("node").distinct())
+        sets = keep(settle(only(docs.withColumnRenamed("doc_id", "node"), nodes, "node").mapInArrow(setter(k), "node long, items array<long>").where(F.size("items") > 0).distinct()))
 
     labels, links = None, None
     for done in range(ROUNDS + 1):
-        now = labelled(entries, labels)
-        if done == 1:
-            limits = bounds(settle(still_open(now).select("node").distinct()), sets, percent)
-            now = possible(now.join(limits, "node"))
-        now = settle(still_open(now))
-        if now.isEmpty():
-            break
-        if done < ROUNDS:
-            pairs = now.where("label <> lead_label").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-            entries = now.where("node <> lead").select("node", "key", "company", *[c for c in ("n", "most") if c in now.columns])
-        else:
-            pairs = rest_pairs(now, sets, percent)
-        new = verified(settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), sets, percent)
-        links = new if links is None else links.unionByName(new)
-        labels = settle(components(links))
-        links = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+        with passing(spark) as keep:
+            now = labelled(entries, labels)
+            if done == 1:
+                limits = bounds(settle(still_open(now).select("node").distinct()), sets, percent)
+                now = possible(now.join(limits, "node"))
+            now = settle(still_open(now))
+            if now.isEmpty():
+                break
+            if done < ROUNDS:
+                pairs = now.where("label <> lead_label").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+                entries = keep(now).where("node <> lead").select("node", "key", "company", *[c for c in ("n", "most") if c in now.columns])
+            else:
+                pairs = rest_pairs(now, sets, percent)
+            new = verified(settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), sets, percent)
+            links = new if links is None else links.unionByName(new)
+            labels = keep(settle(components(links)))
+            links = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    return labels
+
+
+def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, a row for each row of docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
+    with passing(spark) as keep:
+        seen = keep(settle(docs.mapInArrow(sketcher(k), SCHEMA)))
+        classes = keep(settle(seen.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")).where("node is not null")))
+        labels = linked(docs, classes, k, percent)
+        if labels is not None:
+            keep(labels)
     where = labelled(classes.select("set_key", "node"), labels).select("set_key", F.col("label").alias("component_id"))
     out = seen.select("doc_id", "n_shingles", "set_key").join(where, "set_key", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -244,6 +257,8 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that represent their component, all columns kept. Rows of one doc_id stay or go together, and
     go if none of them represents a component; rows of a null doc_id stay."""
-    ids = link(docs, k, percent).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("_kept"))
-    gone = settle(ids.where("not _kept").select("doc_id"))
+    with passing(docs.sparkSession) as keep:
+        ids = link(docs, k, percent).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("_kept"))
+        gone = keep(settle(ids.where("not _kept").select("doc_id")))
+    release(docs.sparkSession)
     return docs.join(sized(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_fold, settle, text_of, words_of
+from lodestone.llm.common import crc_fold, passing, settle, text_of, words_of
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH, CUTS, LEAST = 12, 3, 24, 20
@@ -152,12 +152,16 @@ def measured(docs: DataFrame) -> DataFrame:
     return settle(with_statistics(docs.select("doc_id", "text")).drop("text"))
 
 
+def known(labels: DataFrame) -> DataFrame:
+    """doc_id and _y of the labels outside fold 0, one row for each id."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_fold(F.col("doc_id")) != 0))
+    return rows.groupBy("doc_id").agg(F.max("quality").cast("double").alias("_y"))
+
+
 def fit(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ensemble:
     """The ensemble trained on the labelled documents of stats (doc_id and statistics) outside fold 0."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_fold(F.col("doc_id")) != 0))
-    known = known.groupBy("doc_id").agg(F.max("quality").cast("double").alias("_y"))
     cols = [f"_q_{n}" for n in NAMES]
-    train = stats.join(known, "doc_id").select(F.xxhash64("doc_id").alias("_h"), "_y", *cols).orderBy("_h", *cols).limit(rows)
+    train = stats.join(known(labels), "doc_id").select(F.xxhash64("doc_id").alias("_h"), "_y", *cols).orderBy("_h", *cols).limit(rows)
     got = np.array([tuple(r)[1:] for r in train.collect()], float).reshape(-1, len(cols) + 1)
     return fit_arrays(got[:, 1:], got[:, 0])
 
@@ -174,8 +178,22 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return df.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def training_docs(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id and text of the documents that fit() can take: those of the labelled ids of least hash, at most rows ids,
+    so their broadcast is bounded and only their texts are measured."""
+    ids = docs.select("doc_id").join(known(labels), "doc_id", "left_semi").distinct()
+    ids = settle(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+
+
 def filter_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score at least threshold, all columns kept as they are."""
-    df = settle(with_statistics(docs))  # a filter on them would otherwise be planned over the texts, statistic by statistic
-    model = fit(df.select("doc_id", *[f"_q_{n}" for n in NAMES]), labels)
-    return df.where(model.score(prefixed()) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that score at least threshold, all columns kept as they are. A plain filter on the score would
+    be planned over the texts, statistic by statistic; an array of the row or of nothing is not."""
+    with passing(docs.sparkSession):
+        model = fit(with_statistics(training_docs(docs, labels)), labels)
+    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    df = with_statistics(docs.select(row.alias("_whole"), F.col("text")))
+    one = F.array(F.struct("_whole", model.score(prefixed()).alias("score")))
+    kept = df.select(F.inline(F.filter(one, lambda x: x["score"] >= threshold)))
+    return kept.select(*[F.col("_whole")[c].alias(c) for c in names])
