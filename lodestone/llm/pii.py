@@ -5,6 +5,10 @@ and are always returned; a span of the last two is returned if its score reaches
 exclusive. A pattern's matches and the text between them come from one extract and one split by the same pattern, so
 places are sums of lengths. The split is made only for texts that have a match.
 
+The iban pattern matches the first four characters alone and looks ahead at the longest run that may follow, so that
+no number hides behind another. A number may end at that run's end or before a space in it: its span is the longest
+that mod 97 confirms, and one that lies within an earlier number is a part of it.
+
 The patterns take whole runs: a possessive quantifier and "not after a character of the run, unless a match has just
 ended" change no match of the plain form and keep the time linear in the text.
 
@@ -26,7 +30,7 @@ KINDS = (
     ("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ("ip", "host", "server", "address")),
     ("card", r"[0-9](?:[\x20-]?[0-9])++", ("card", "visa", "credit", "payment")),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", ("phone", "call", "tel", "mobile")),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", ("iban", "account", "bank", "transfer")),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b))", ("iban", "account", "bank", "transfer")),
     ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", ("ssn", "social", "security")),
 )
 BASE = ("email", "ip", "card", "phone")
@@ -67,16 +71,34 @@ def valid(kind: str, m: Column) -> Column:
         return F.when(F.length(d).between(12, 19), luhn(d)).otherwise(F.lit(False))
     if kind == "phone":
         return F.length(d).between(9, 15)
-    if kind == "iban":
-        return mod97(m)
     if kind == "ssn":
         return ~d.rlike("^(000|666|9)|^...00|0000$")
     return F.lit(True)
 
 
+def accounts(heads: Column) -> Column:
+    """places() of the iban pattern, from column r_iban (what it looked ahead at), as places of the confirmed numbers:
+    each ends where the longest confirmed one does; those within an earlier one go."""
+    kind = "array<struct<start:int,end:int,m:string,before:string>>"
+
+    def longest(x: Column, i: Column) -> Column:
+        parts = F.split(F.concat(x["m"], F.get("r_iban", i)), "\\x20", -1)
+        ends = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), " "))
+        m = F.get(F.filter(ends, lambda e: (F.length(F.replace(e, F.lit(" "))) >= 12) & mod97(e)), F.lit(0))
+        return F.struct(x["start"].alias("start"), (x["start"] + F.length(m)).alias("end"), m.alias("m"), x["before"].alias("before"))
+
+    def add(acc: Column, x: Column) -> Column:
+        fresh = x["end"] > acc["at"]  # null, so not fresh, where no end is confirmed
+        return F.when(fresh, F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc)
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    return F.aggregate(F.transform(heads, longest), zero, add)["out"]
+
+
 def found(kind: str, near: tuple[str, ...], rank: int) -> Column:
     """The spans struct(start, rank, end, kind, score) that pass, from columns m_<kind> (all matches) and g_<kind>
     (what stands between them)."""
+    at = places(F.col(f"m_{kind}"), F.col(f"g_{kind}"))
 
     def score(x: Column) -> Column:
         close = F.lower(F.right(x["before"], F.lit(CONTEXT))).rlike("|".join(near))
@@ -86,13 +108,14 @@ def found(kind: str, near: tuple[str, ...], rank: int) -> Column:
         return valid(kind, x["m"]) if kind in BASE else valid(kind, x["m"]) & (score(x) >= KEEP - 1e-9)
 
     span = lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), score(x).alias("score"))
-    return F.transform(F.filter(places(F.col(f"m_{kind}"), F.col(f"g_{kind}")), keep), span)
+    return F.transform(F.filter(accounts(at) if kind == "iban" else at, keep), span)
 
 
 def spans(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns in keep, _t (the text) and spans: array of struct(start, rank, end, kind, score) by start, rank."""
     df = docs.select(*keep, text_of().alias("_t"))
     df = df.select("*", *[F.regexp_extract_all("_t", F.lit(p), F.lit(0)).alias(f"m_{k}") for k, p, _ in KINDS])
+    df = df.withColumn("r_iban", F.regexp_extract_all("_t", F.lit(dict((k, p) for k, p, _ in KINDS)["iban"]), F.lit(1)))
     df = df.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split("_t", p, -1)).alias(f"g_{k}") for k, p, _ in KINDS])
     return df.select(*keep, "_t", F.sort_array(F.concat(*[found(k, near, i) for i, (k, _, near) in enumerate(KINDS)])).alias("spans"))
 

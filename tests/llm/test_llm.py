@@ -64,6 +64,26 @@ def test_near_duplicates_against_brute_force(spark):
         assert got == {d: top(d) for d in sets}
 
 
+def test_pii_account_numbers_end_where_confirmed(spark):
+    def ok(s):
+        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+    texts = ["BE68539007547034 EUR 100", "ES9121000418450200051332 2024", "BE68 5390 0754 7034 100 euros", "é😀 BE68539007547034 ES9121000418450200051332 USD", "AB12 3456 7890 BE68 5390 0754 7034 AT61 1904 3002 3457 3201 2024 DE89 3704 0044 0532 0130 00 EUR"]
+    texts += ["BE68 5390 0754 7034 ES91 2100 0418 4502 0005 1332", "GB82 WEST 1234 5698 7654 32, NO9386011117947 NOK", "BE69539007547034 EUR 100", "xBE68539007547034 BE68539007547034x", "none"]
+    want = {}
+    for i, t in enumerate(texts):
+        want[i], last = [], 0
+        for h in re.finditer(r"\b[A-Z]{2}[0-9]{2}", t):
+            ends = [e for e in range(h.start() + 12, len(t) + 1) if re.fullmatch(r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4}){2,7}(\x20?[A-Z0-9]{1,3})?", t[h.start() : e]) and not t[e : e + 1].isalnum() and ok(t[h.start() : e].replace(" ", ""))]
+            if ends and ends[-1] > last:
+                last = ends[-1]
+                want[i].append(f"iban:{h.start()}:{last}")
+    assert [len(want[i]) for i in range(len(texts))] == [1, 1, 1, 2, 3, 2, 2, 0, 0, 0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: [s for s in r.spans.split(",") if s.startswith("iban")] for r in pii.find(df, "doc_id").collect()} == want
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()}[0] == "<iban> EUR 100"
+
+
 def test_repeats_against_brute_force(spark):
     rnd = random.Random(3)
     base = ["".join(rnd.choices("ab é", k=400)) for _ in range(3)]
