@@ -101,7 +101,8 @@ def found(kind: str, near: tuple[str, ...], rank: int) -> Column:
     at = places(F.col(f"m_{kind}"), F.col(f"g_{kind}"))
 
     def score(x: Column) -> Column:
-        close = F.lower(F.right(x["before"], F.lit(CONTEXT))).rlike("|".join(near))
+        window = F.substring(F.col("_t"), F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
+        close = F.lower(window).rlike("|".join(near))
         return F.lit(CHECKED if kind in ("ip", "card", "iban") else BARE) + F.when(close, NEAR).otherwise(0.0)
 
     def keep(x: Column) -> Column:

@@ -84,6 +84,15 @@ def test_pii_account_numbers_end_where_confirmed(spark):
     assert {r.doc_id: r.text for r in pii.redact(df).collect()}[0] == "<iban> EUR 100"
 
 
+def test_pii_context_is_the_text_before(spark):
+    rows = [(1, "SSN: 219-09-9998, 219-09-9997"), (2, "é😀 ssn 219-09-9998 219-09-9997 " + "x" * 36 + " 219-09-9996"), (3, "ssn" + " " * 37 + "219-09-9998"), (4, "ssn" + " " * 38 + "219-09-9998"), (5, "219-09-9998 ssn 219-09-9997")]
+    want = {d: [f"ssn:{m.start()}:{m.end()}" for m in re.finditer(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", t) if "ssn" in t[max(0, m.start() - 40) : m.start()].lower()] for d, t in rows}
+    assert [len(want[d]) for d, _ in rows] == [2, 2, 1, 0, 1]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: [s for s in r.spans.split(",") if s] for r in pii.find(df, "doc_id").collect()} == want
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()}[1] == "SSN: <ssn>, <ssn>"
+
+
 def test_repeats_against_brute_force(spark):
     rnd = random.Random(3)
     base = ["".join(rnd.choices("ab é", k=400)) for _ in range(3)]
