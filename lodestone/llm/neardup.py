@@ -101,6 +101,11 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def key_of(s: np.ndarray) -> bytes | None:
+    """What rows of one non-empty shingle set share."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def sketcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -109,7 +114,7 @@ def sketcher(k: int):
             for text in batch.column(1).to_pylist():
                 s = shingles(text, k, words)
                 n.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                keys.append(key_of(s))
                 bands.append(band_keys(sketch(s)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
 
@@ -120,8 +125,9 @@ def setter(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            sets = [shingles(t, k, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
+            sets = [shingles(t, k, words) for t in batch.column(1).to_pylist()]
+            keys, items = pa.array([key_of(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), keys, items], names=["node", "set_key", "items"])
 
     return run
 
@@ -144,11 +150,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    sized = sets.select("node", F.size("items").alias("n"))
-    fit = pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b")
-    fit = fit.where(F.lit(100) * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    x = fit.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    """The pairs (a, b) of nodes that have sets, one each, with 100 * intersection >= percent * union."""
+    sized = sets.select("node", "part", F.size("items").alias("n"))
+    fit = pairs.join(sized.toDF("a", "pa", "na"), "a").join(sized.toDF("b", "pb", "nb"), "b")
+    fit = fit.where(F.lit(100) * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "pa", "b", "pb")
+    x = fit.join(sets.select("node", "part", "items").toDF("a", "pa", "sa"), ["a", "pa"]).join(sets.select("node", "part", "items").toDF("b", "pb", "sb"), ["b", "pb"])
     x = x.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
     return x.where(F.lit(100) * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b").distinct()
 
@@ -168,14 +174,16 @@ def still_open(now: DataFrame) -> DataFrame:
 
 
 def bounds(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node, n (its set's size) and most (the largest partner it can have among nodes). Of its elements, the x that no
-    other of the nodes has are in no intersection: with a partner of size s the similarity is at most (n - x) / (s + x)."""
+    """node, n (its least set's size) and most (the largest partner that any of its sets can have among nodes). Of a
+    set's elements, the x that no other set has are in no intersection: with a partner of size s the similarity is at
+    most (n - x) / (s + x)."""
     own = settle(sets.join(nodes, "node", "left_semi"))
-    lone = own.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    lone = lone.groupBy("node").agg(F.count("*").alias("x"))
-    size = own.groupBy("node").agg(F.min(F.size("items")).alias("n"), F.max(F.size("items")).alias("big"))
+    lone = own.select("node", "part", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node"), F.min("part").alias("part")).where("c = 1")
+    lone = lone.groupBy("node", "part").agg(F.count("*").alias("x"))
+    size = own.select("node", "part", F.size("items").alias("n")).join(lone, ["node", "part"], "left")
     x = F.coalesce("x", F.lit(0))
-    return settle(size.join(lone, "node", "left").select("node", "n", (F.floor((F.col("big") - x) * 100 / percent) - x).alias("most")))
+    most = F.floor((F.col("n") - x) * 100 / percent) - x
+    return settle(size.groupBy("node").agg(F.min("n").alias("n"), F.max(most).alias("most")))
 
 
 def possible(now: DataFrame) -> DataFrame:
@@ -190,9 +198,9 @@ def rest_pairs(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     elements among the first ones of the larger, and at the first they share, what follows in either set must suffice
     for the intersection that the pair needs."""
     nodes = settle(now.groupBy("node").agg(F.min("label").alias("label"), F.min("most").alias("most")))
-    items = settle(sets.join(nodes.select("node"), "node", "left_semi").select("node", F.size("items").alias("n"), F.explode("items").alias("item")))
+    items = settle(sets.join(nodes.select("node"), "node", "left_semi").select("node", "part", F.size("items").alias("n"), F.explode("items").alias("item")))
     spread = items.groupBy("item").agg(F.count("*").alias("c"))
-    order = items.join(spread, "item").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("o"))
+    order = items.join(spread, "item").groupBy("node", "part", "n").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("o"))
     reach = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     order = order.join(nodes, "node").select("node", "label", "n", "most", F.posexplode(F.slice("o", F.lit(1), reach.cast("int"))).alias("i", "e"))
     order = settle(order.where("e.c > 1").select("node", "label", "n", "most", "i", F.col("e.item").alias("item")))
@@ -205,7 +213,9 @@ def rest_pairs(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """node and label, settled, of every node of classes that has a link; None if there is no company at all."""
+    """node and label, settled, of every node of classes that has a link; None if there is no company at all. The sets
+    of a node are those of its classes, part telling them apart; what its id has of other nodes' classes is not among
+    them."""
     spark = docs.sparkSession
     entries = classes.select("node", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
@@ -214,7 +224,10 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFra
         company = entries.groupBy("node").agg(F.sum("c").alias("company"))
         entries = keep(settle(entries.select("node", "key").distinct().join(company, "node")))
         nodes = settle(entries.select("node").distinct())
-        sets = keep(settle(only(docs.withColumnRenamed("doc_id", "node"), nodes, "node").mapInArrow(setter(k), "node long, items array<long>").where(F.size("items") > 0).distinct()))
+        parts = settle(classes.join(nodes, "node", "left_semi").select("node", F.xxhash64("set_key").alias("part")))
+        sets = only(docs.withColumnRenamed("doc_id", "node"), nodes, "node").mapInArrow(setter(k), "node long, set_key binary, items array<long>").where("set_key is not null")
+        sets = sets.select("node", F.xxhash64("set_key").alias("part"), "items").join(sized(parts), ["node", "part"], "left_semi")
+        sets = keep(settle(sets.distinct()))
 
     labels, links = None, None
     for done in range(ROUNDS + 1):

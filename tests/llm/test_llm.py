@@ -64,6 +64,46 @@ def test_near_duplicates_against_brute_force(spark):
         assert got == {d: top(d) for d in sets}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rnd = random.Random(11)
+    base = [[rnd.choice("abcdefghij") + str(rnd.randrange(60)) for _ in range(50)] for _ in range(8)]
+    rows = []
+    for i in range(120):
+        w = list(base[i % 8])
+        for _ in range(rnd.randrange(0, 7)):
+            w[rnd.randrange(len(w))] = rnd.choice("klmn") + str(rnd.randrange(9))
+        rows.append((i, " ".join(w)))
+        if i % 3 == 0:  # another text, of words of its own
+            rows.append((i, " ".join(f"own{i}x{j}" for j in range(101))))
+        if i % 5 == 0:  # texts of one size, and one that a lesser id has too
+            rows.append((i, " ".join(f"of{i}y{j}" for j in range(50))))
+            rows.append((i + 1, rows[0][1]))
+    sets = [frozenset(zip(t.split(), t.split()[1:])) for _, t in rows]
+    node: dict = {}
+    for (d, _), s in zip(rows, sets):
+        node[s] = min(node.get(s, d), d)
+    up = {d: d for d in node.values()}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in node:
+        for b in node:
+            i = len(a & b)
+            if 100 * i >= 80 * (len(a) + len(b) - i):
+                x, y = sorted((top(node[a]), top(node[b])))
+                up[y] = x
+    want = collections.Counter((d, len(s), top(node[s])) for (d, _), s in zip(rows, sets))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (1, 2, 3, 4):
+        neardup.ROUNDS, before = rounds, neardup.ROUNDS
+        got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.link(df, 2).collect())
+        neardup.ROUNDS = before
+        assert got == want, rounds
+
+
 def test_pii_account_numbers_end_where_confirmed(spark):
     def ok(s):
         return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
