@@ -16,7 +16,6 @@ several times faster, and texts that it refuses go to the first.
 from __future__ import annotations
 
 import base64
-import heapq
 import os
 import zlib
 from collections.abc import Iterator
@@ -67,8 +66,7 @@ def encoder(name: str = "byte_bpe_50k"):
 def assign(lengths: np.ndarray, room: int = MAX_TOKENS) -> tuple[list[tuple[int, int, int]], np.ndarray]:
     """Pieces (item, start in it, length), and the sequence of each; items are shorter than room."""
     n = int(-(-lengths.sum() // room))
-    left, cost = [room] * n, [0.0] * n
-    heap = [(0.0, i) for i in range(n)]
+    left, cost = np.full(n, room, np.int64), np.zeros(n)
     out, where = [], []
 
     def put(item: int, start: int, length: int, seq: int) -> None:
@@ -77,34 +75,18 @@ def assign(lengths: np.ndarray, room: int = MAX_TOKENS) -> tuple[list[tuple[int,
         left[seq] -= length
         cost[seq] += LINEAR * length + QUADRATIC * length * length
 
-    for item in np.argsort(-lengths, kind="stable"):
-        length, aside = int(lengths[item]), []
-        while heap:
-            c, seq = heapq.heappop(heap)
-            if left[seq] >= length:
-                put(int(item), 0, length, seq)
-                aside.append((cost[seq], seq))
-                length = 0
+    for item in np.argsort(-lengths, kind="stable").tolist():
+        start, length = 0, int(lengths[item])
+        seq = int(np.argmin(np.where(left >= length, cost, np.inf)))
+        if left[seq] >= length:
+            put(item, 0, length, seq)
+            continue
+        for seq in np.argsort(-left, kind="stable").tolist():  # none has room: cut it over those with most
+            take = min(int(left[seq]), length)
+            put(item, start, take, seq)
+            start, length = start + take, length - take
+            if not length:
                 break
-            aside.append((c, seq))
-            if len(aside) >= 64:
-                break
-        start = 0
-        if length:  # among the cheapest none has room: cut it over those with most room of all
-            for seq in sorted(range(n), key=lambda s: (-left[s], s)) if not heap or max(left) < length else [max(range(n), key=lambda s: (left[s], -s))]:
-                take = min(left[seq], length)
-                if take:
-                    put(int(item), start, take, seq)
-                    start, length = start + take, length - take
-                if not length:
-                    break
-            aside = [(cost[seq], seq) for _, seq in aside]
-        for entry in aside:
-            if left[entry[1]]:
-                heapq.heappush(heap, entry)
-        if start and heap:
-            heap = [(cost[seq], seq) for _, seq in heap if left[seq]]
-            heapq.heapify(heap)
     return out, np.array(where, np.int64)
 
 

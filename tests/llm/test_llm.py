@@ -175,6 +175,24 @@ def test_packing_is_whole_and_tight(spark):
     assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all()
 
 
+def test_packing_takes_the_least_cost_with_room():
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        lengths = np.concatenate([rng.integers(1, 2048, 600), rng.integers(1, 200, 1448)])[: (2048, 1, 2, 700)[seed % 4]]
+        pieces, seqs = packing.assign(lengths)
+        n = int(-(-lengths.sum() // packing.MAX_TOKENS))
+        left, cost, got = [packing.MAX_TOKENS] * n, [0.0] * n, np.zeros(len(lengths), np.int64)
+        for (item, start, length), seq in zip(pieces, seqs.tolist()):
+            room = [i for i in range(n) if left[i] >= lengths[item]] if not start else []
+            if room:
+                assert length == lengths[item] and seq == min(room, key=lambda i: (cost[i], i))
+            assert start == got[item] and 0 < length <= left[seq]
+            left[seq] -= length
+            got[item] += length
+            cost[seq] += packing.LINEAR * length + packing.QUADRATIC * length * length
+        assert (got == lengths).all()
+
+
 def test_media_round_trip_and_damage():
     for n in (0, 1, 191, 192, 193, 5000, 100_001):
         p = media.padded(bytes(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8)))
