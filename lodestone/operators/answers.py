@@ -17,12 +17,14 @@ WEIGHTS = {"top_retrieval": 0.14, "average_retrieval": 0.10, "top_rerank": 0.12,
 BOOSTS = {"title": 1.20, "heading": 1.15, "tag": 1.10, "exact": 1.25}
 
 
-def claims(answers: DataFrame, most: int = 20) -> DataFrame:
+def claims(answers: DataFrame, most: int | None = 20) -> DataFrame:
     """answer_id, claim, text, citations, confidence: sentences that cite or state a fact. A citation that opens the
-    next sentence belongs to the one before."""
+    next sentence belongs to the one before. An answer gives its first `most` ones (None: all); 20 is the reference's
+    default, for generated answers."""
     glued = F.regexp_replace("answer", r"([.!?;。！？；])(\s*(?:\[[Cc]\d+\]\s*)+)", "$2$1 ")
     parts = F.transform(F.split(glued, r"(?<=[。！？!?；;])|(?<!\d)\.(?!\d)"), collapse)
-    kept = F.slice(F.filter(parts, lambda s: s.rlike(r"\[[Cc]\d+\]") | s.rlike(FACT)), 1, most)
+    kept = F.filter(parts, lambda s: s.rlike(r"\[[Cc]\d+\]") | s.rlike(FACT))
+    kept = kept if most is None else F.slice(kept, 1, most)
     rows = answers.select("answer_id", F.posexplode(kept).alias("claim", "text"))
     cited = F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(r"\[(C\d+)\]"), F.lit(1)))
     return rows.select("answer_id", "claim", "text", cited.alias("citations"), F.when(F.size(cited) > 0, 1.0).otherwise(0.7).alias("confidence"))

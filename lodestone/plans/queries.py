@@ -327,9 +327,9 @@ def answer_confidence(spark, sf_dir):
 
 @query()
 def answer_claims(spark, sf_dir):
-    """Every document as an answer."""
+    """Every document as an answer, with all its claims."""
     a = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), F.col("text").alias("answer"))
-    return answers.claims(a).select("answer_id", "claim", "text", F.size("citations").alias("n_citations"), "confidence")
+    return answers.claims(a, most=None).select("answer_id", "claim", "text", F.size("citations").alias("n_citations"), "confidence")
 
 
 FIELD = r"([\w一-鿿]{2,20})[ \t\r\n\x0b\x0c]*[:：=][ \t\r\n\x0b\x0c]*([^,，。；; \t\r\n\x0b\x0c]+)"

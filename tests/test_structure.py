@@ -4,6 +4,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from lodestone.operators import answers, enrich, layout, splits, traces
+from lodestone.plans import queries
 from lodestone.sources import office
 from lodestone.streaming import metrics as drain
 from lodestone.streaming import state
@@ -59,6 +60,13 @@ def test_layout(spark):
     assert {r.image_id: r.caption for r in layout.captions(i, b).collect()} == {"i1": "near", "i2": None, "i3": None}
 
 
+def test_answer_claims_gives_all(spark, tmp_path):
+    text = " ".join(f"It rose to {i}.5 units [C1]." for i in range(50))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.claim for r in queries.answer_claims(spark, str(tmp_path)).orderBy("claim").collect()] == list(range(50))
+    assert answers.claims(spark.createDataFrame([(1, text)], "answer_id long, answer string")).count() == 20
+
+
 def test_claims_refusal_confidence(spark):
     a = spark.createDataFrame([(1, "It rose to 2.5 units.[C1] Nice. It failed [C9]"), (2, ""), (3, None)], "answer_id long, answer string")
     found = answers.claims(a)
