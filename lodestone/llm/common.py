@@ -45,15 +45,28 @@ def let(x: Column, *steps: Callable[[Column], Column]) -> Column:
     return F.get(out, F.lit(0))
 
 
+#: The scratch folders of this process that are marked for deletion.
+_homes: set[str] = set()
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that the session names; a local folder only where it names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        top = spark.sparkContext.getCheckpointDir()
+    """A new path in the shared folder that the session names; a local folder only where it names none and driver and
+    executors are one process. What a run leaves there is deleted when its JVM ends."""
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not top:
+        if not context.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/lodestone/{uuid.uuid4().hex}"
+        context.setCheckpointDir(top)
+    home = f"{top.rstrip('/')}/lodestone/{context.applicationId}"
+    if home not in _homes:
+        at = spark._jvm.org.apache.hadoop.fs.Path(home)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _homes.add(home)
+    return f"{home}/{uuid.uuid4().hex}"
 
 
 #: The paths settled in the innermost passing() block.
@@ -99,19 +112,48 @@ def shards(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def places(matches: Column, between: Column) -> Column:
-    """array<struct(start, end, m, before)> of a pattern's matches, from its extract (matches) and its split
-    (between, one entry more, or null where there is no match). Offsets count code points."""
-    kind = "array<struct<start:int,end:int,m:string,before:string>>"
-    pairs = F.transform(matches, lambda x, i: F.struct(x.alias("m"), F.get(between, i).alias("g")))
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The array of step's running results over values (integers, step associative, 0 neutral): each round combines an
+    entry with the one 1, 2, 4, ... places before, so n entries cost n log n and no array is grown entry by entry."""
+
+    def scan(v: Column) -> Column:
+        rounds = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda d: d < F.size(v))
+        return F.aggregate(rounds, v, lambda acc, d: F.zip_with(acc, F.concat(F.array_repeat(F.lit(0), d), F.slice(acc, F.lit(1), F.size(acc) - d)), step))
+
+    return let(values, scan)
+
+
+def places(matches: Column, between: Column, more: Column | None = None) -> Column:
+    """array<struct(start, end, m[, more])> of a pattern's matches, from its extract (matches) and its split (between,
+    one entry more, or null where there is no match); more is an array beside matches. Offsets count code points. Each
+    argument is read once and the ends are running sums, so time is near linear in the number of matches."""
+    extra = [] if more is None else ["more"]
+    kind = "array<struct<start:int,end:int,m:string" + ",more:string" * len(extra) + ">>"
+    pairs = F.zip_with(matches, between, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    if extra:
+        pairs = F.zip_with(pairs, more, lambda p, x: F.struct(p["m"].alias("m"), p["g"].alias("g"), x.alias("more")))
+
+    def spans(p: Column) -> Column:
+        ends = running(F.transform(p, lambda x: F.length(x["g"]) + F.length(x["m"])), lambda a, b: a + b)
+        return F.zip_with(p, ends, lambda x, e: F.struct((e - F.length(x["m"])).alias("start"), e.alias("end"), x["m"].alias("m"), *[x[c].alias(c) for c in extra]))
+
+    return F.when(F.size(matches) == 0, F.array().cast(kind)).otherwise(let(F.filter(pairs, lambda p: p["m"].isNotNull()), spans))
+
+
+#: Characters of a block: what lies at an offset is found from its block, not from the start of the text.
+BLOCK = 256
+
+
+def blocks(text: Column) -> Column:
+    """The text in pieces of BLOCK characters, for cut()."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), x["g"].alias("before")))).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.when(F.size(matches) == 0, F.array().cast(kind)).otherwise(F.aggregate(pairs, zero, add)["out"])
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end (exclusive, within the text) of a text in blocks(); the time is that of what is cut."""
+    first = F.floor(start / BLOCK).cast("int")
+    near = F.array_join(F.slice(pieces, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+    return F.substring(near, start - first * BLOCK + 1, end - start)
 
 
 def joined(array: Column) -> Column:

@@ -38,28 +38,38 @@ _PII = [
     ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", 0),
     ("card", r"[0-9](?:[\x20-]?[0-9])+", 0),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", 0),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}", 0),
     ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0),
+    ("birth", r"\b(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])\b", 0),
 ]
 _BYTE = r"0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_NEAR = {"iban": "iban|account|bank|transfer", "ssn": "ssn|social|security"}
+_NEAR = {
+    "email": "mail|email|contact|write", "ip": "ip|host|server|address", "card": "card|visa|credit|payment", "phone": "phone|call|tel|telephone|mobile",
+    "iban": "iban|account|bank|transfer", "ssn": "ssn|social|security", "birth": "born|birth|birthday|dob",
+}
+_MOD97 = "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(e, ' ', ''), 5) || left(replace(e, ' ', ''), 4), ''), lambda c: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)), lambda acc, x: CASE WHEN x < 10 THEN acc * 10 + x ELSE acc * 100 + x END % 97) = 1"
 OP1 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 {_spans(_PII)},
-a AS ({" UNION ALL ".join(f"SELECT * FROM s_{k}" for k, _, _ in _PII)}),
-b AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS dg, replace(m, ' ', '') AS nospace, lower(right(before, 40)) AS near FROM a),
-v AS (SELECT doc_id, kind, rank, stop - length(m) AS start, stop, CASE kind
+h AS (SELECT s.doc_id, stop - 4 AS start, regexp_extract(substr(t, stop - 3), '^[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?\b') AS run FROM s_iban s JOIN d ON d.doc_id = s.doc_id),
+e AS (SELECT doc_id, start, list_filter(list_transform(range(len(string_split(run, ' ')), 0, -1), lambda n: array_to_string(string_split(run, ' ')[1:n], ' ')), lambda e: length(replace(e, ' ', '')) >= 12 AND {_MOD97})[1] AS m FROM h WHERE run <> ''),
+y AS (SELECT doc_id, start, m, start + length(m) AS stop, coalesce(max(start + length(m)) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM e),
+a AS ({" UNION ALL ".join(f"SELECT doc_id, kind, rank, stop - length(m) AS start, stop, m FROM s_{k}" for k, _, _ in _PII if k != "iban")}
+  UNION ALL SELECT doc_id, 'iban', 4, start, stop, m FROM y WHERE stop > reach),
+b AS (SELECT a.*, regexp_replace(m, '[^0-9]', '', 'g') AS dg, translate(substr(' ' || t, greatest(start - 40, 0) + 1, least(start, 40) + 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS near FROM a JOIN d ON d.doc_id = a.doc_id),
+c AS (SELECT *, CASE WHEN kind IN ('ip', 'card', 'iban') THEN 80 ELSE 40 END + CASE WHEN {" OR ".join(f"kind = '{k}' AND regexp_matches(near, '[^a-z](?:{w})(?:[^a-z]|$)')" for k, w in _NEAR.items())} THEN 20 ELSE 0 END AS score FROM b),
+v AS (SELECT doc_id, kind, rank, start, stop, score, CASE kind
   WHEN 'email' THEN TRUE
   WHEN 'ip' THEN regexp_full_match(m, '{_BYTE}(\.{_BYTE}){{3}}')
   WHEN 'card' THEN length(dg) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(dg) + 1), lambda i: CASE WHEN (length(dg) - i) % 2 = 1 THEN CASE WHEN ascii(dg[i]) - 48 > 4 THEN (ascii(dg[i]) - 48) * 2 - 9 ELSE (ascii(dg[i]) - 48) * 2 END ELSE ascii(dg[i]) - 48 END)) % 10 = 0
   WHEN 'phone' THEN length(dg) BETWEEN 9 AND 15
-  WHEN 'iban' THEN list_reduce(list_prepend(0, list_transform(string_split(nospace[5:] || nospace[:4], ''), lambda c: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)), lambda acc, x: CASE WHEN x < 10 THEN acc * 10 + x ELSE acc * 100 + x END % 97) = 1
-  ELSE NOT regexp_matches(dg, '^(000|666|9)|^...00|0000$') AND regexp_matches(near, '{_NEAR["ssn"]}') END AS ok FROM b),
-k AS (SELECT doc_id, kind, rank, start, kind || ':' || start || ':' || stop AS s FROM v WHERE ok),
+  WHEN 'ssn' THEN NOT regexp_matches(dg, '^(000|666|9)|^...00|0000$') AND score >= 60
+  ELSE score >= 60 END AS ok FROM c),
+k AS (SELECT doc_id, kind, rank, start, score, kind || ':' || start || ':' || stop AS s FROM v WHERE ok),
 j AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
-  string_agg(s, ',' ORDER BY start, rank) FILTER (rank < 4) AS base, string_agg(s, ',' ORDER BY start, rank) AS spans FROM k GROUP BY doc_id)
+  string_agg(s, ',' ORDER BY start, rank) FILTER (rank < 4) AS base, string_agg(s, ',' ORDER BY start, rank) AS spans, string_agg(score::VARCHAR, ',' ORDER BY start, rank) AS scores FROM k GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM d LEFT JOIN j ON j.doc_id = d.doc_id"""
 
 OP3 = rf"""

@@ -10,7 +10,7 @@ from lodestone.llm.oracles import ORACLES
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"), "doc_id").drop("top_score")
+    return pii.find(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
