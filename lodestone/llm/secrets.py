@@ -1,13 +1,17 @@
 """Secrets: base patterns, and a battery of randomness tests over long tokens. Built-ins only.
 
-A token is a maximal run of 20 or more characters of [A-Za-z0-9+/_=-]. Its encoding is inferred from the characters it
-uses (hexadecimal, base 32, lower-case letters and digits, base 64), and three tests ask whether it could be uniformly
-random over that alphabet: chi-squared of the character counts, the number of runs above and below the middle of the
-alphabet, and the serial correlation of neighbours. The least of the three p-values, times three, is the token's.
-Short tokens have little power and long ones much, so rejections are decided within classes of length: over all
-tokens of a class in the corpus, the Benjamini-Hochberg rule at rate RATE says which are not random. What is not
-rejected, and mixes letters with digits, is reported as kind "random". The p-values are counted in bins of a tenth of
-a decade, so that the corpus-wide step is a table of at most CLASSES times BINS rows whatever the input.
+A token is a maximal run of 20 or more characters of [A-Za-z0-9+/_=-] with letters and digits. Its encoding is inferred
+from the characters it uses (hexadecimal, base 32, lower-case letters and digits, base 64), and three tests ask whether
+it could be uniformly random over that alphabet: chi-squared of the character counts, the number of runs above and below
+the middle of the alphabet, and the serial correlation of neighbours. The least of the three p-values, times three, is
+the token's. Two further tests ask whether it could be written in words, as identifiers are: whether neighbours differ in
+class (lower case, upper case, digit, sign) more often than CHANGE, and whether equal characters meet less often than
+MEET, the rate of running text. The least of these, times two, is its second p-value. Short tokens have little power and
+long ones much, so both are decided within classes of length, over all tokens of a class in the corpus, by the
+Benjamini-Hochberg rule at rate RATE: of tokens that are written in words, so chosen, about RATE of the reported ones are
+expected; and of random ones about RATE of the rejected ones are dropped. Reported as kind "random" is what is not taken
+for words and could be random. The p-values are counted in bins of a tenth of a decade, so that the corpus-wide step is a
+table of at most 2 * CLASSES * BINS rows whatever the input.
 
 Kinds in order within a start: assign, access, hex (the base, always returned), random. Offsets count code points,
 end exclusive; an assign span is the whole match.
@@ -42,6 +46,9 @@ ENCODINGS = (
     ("base64", "", UPPER + LOWER + DIGITS + "+/-_"),
 )
 LENGTHS, BINS, RATE = (32, 48, 64, 128), 200, 0.05
+#: Of identifiers, how often neighbours differ in class at most; of text in lower case, the sums of squared
+#: and of cubed shares of characters.
+CHANGE, MEET, MEET3 = 1 / 3, 0.06, 0.0052
 
 
 def fields(**columns: Column) -> Column:
@@ -96,8 +103,34 @@ def p_value(token: Column) -> Column:
     return F.greatest(F.lit(1e-300), F.least(F.lit(1.0), 3 * let(F.regexp_replace(token, "=+$", ""), read, places_in, halves, sums, moments, scores, least)))
 
 
-def p_bin(token: Column) -> Column:
-    return F.least(F.lit(BINS), F.floor(-10 * F.log10(p_value(token)))).cast("int")
+def words_p(token: Column) -> Column:
+    """The token's p-value under "written in words"."""
+    sign = "+/_=-"
+    classes = "a" * 26 + "A" * 26 + "0" * 10 + "-" * len(sign)
+
+    def read(s: Column) -> Column:
+        kinds = F.split(F.translate(s, LOWER + UPPER + DIGITS + sign, classes), "")
+        low = F.translate(s, UPPER, LOWER)
+        return fields(n=F.length(s).cast("double"), kinds=kinds, low=low, own=F.array_distinct(F.split(low, "")))
+
+    def count(b: Column) -> Column:
+        changes = F.size(F.filter(b["kinds"], lambda x, i: (i > 0) & (x != F.get(b["kinds"], i - 1)))).cast("double")
+        pairs = total(F.transform(b["own"], lambda c: let((F.length(b["low"]) - F.length(F.replace(b["low"], c))).cast("double"), lambda k: k * (k - 1) / 2)))
+        return fields(n=b["n"], changes=changes, pairs=pairs)
+
+    def scores(t: Column) -> Column:
+        n = t["n"]
+        many = (t["changes"] - 0.5 - (n - 1) * CHANGE) / F.sqrt((n - 1) * (CHANGE * (1 - CHANGE)))
+        var = n * (n - 1) * (n - 2) * (MEET3 - MEET**2) + n * (n - 1) / 2 * (MEET - MEET**2)
+        few = (n * (n - 1) / 2 * MEET - t["pairs"] - 0.5) / F.sqrt(var)
+        return F.array(many, few)
+
+    least = lambda zs: F.array_min(F.transform(zs, lambda z: tail(F.least(F.greatest(z, F.lit(0.0)), F.lit(37.0)))))
+    return F.greatest(F.lit(1e-300), F.least(F.lit(1.0), 2 * let(F.regexp_replace(token, "=+$", ""), read, count, scores, least)))
+
+
+def bin_of(p: Column) -> Column:
+    return F.least(F.lit(BINS), F.floor(-10 * F.log10(p))).cast("int")
 
 
 def length_class(token: Column) -> Column:
@@ -112,14 +145,22 @@ def testable(token: Column) -> Column:
     return token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (F.length(F.regexp_replace(token, "=+$", "")) >= 20)
 
 
-def thresholds(docs: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """The least rejected bin by class of length. The driver gets one row a class."""
+def thresholds(docs: DataFrame, rate: float = RATE) -> dict[tuple[str, int], int]:
+    """The least rejected bin by test ("random" or "words") and class of length. The driver gets one row each."""
     tokens = docs.select(F.explode(F.regexp_extract_all(text_of(), F.lit(TOKEN), F.lit(0))).alias("_k")).where(testable(F.col("_k")))
-    bins = tokens.groupBy(length_class(F.col("_k")).alias("cls"), p_bin(F.col("_k")).alias("bin")).count()
-    by = Window.partitionBy("cls")
-    ranked = bins.select("cls", "bin", F.sum("count").over(by).alias("m"), F.sum("count").over(by.orderBy(F.desc("bin"))).alias("k"))
+    tests = F.array(*[F.struct(F.lit(k).alias("test"), bin_of(p(F.col("_k"))).alias("bin")) for k, p in (("random", p_value), ("words", words_p))])
+    bins = tokens.select(length_class(F.col("_k")).alias("cls"), F.inline(tests)).groupBy("test", "cls", "bin").count()
+    by = Window.partitionBy("test", "cls")
+    ranked = bins.select("test", "cls", "bin", F.sum("count").over(by).alias("m"), F.sum("count").over(by.orderBy(F.desc("bin"))).alias("k"))
     passed = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / 10.0) <= rate * F.col("k") / F.col("m"))
-    return {r["cls"]: r["bin"] for r in passed.groupBy("cls").agg(F.min("bin").alias("bin")).collect()}
+    return {(r["test"], r["cls"]): r["bin"] for r in passed.groupBy("test", "cls").agg(F.min("bin").alias("bin")).collect()}
+
+
+def is_random(token: Column, cuts: dict[tuple[str, int], int]) -> Column:
+    """Not taken for words and not rejected as random, by the thresholds."""
+    cls = length_class(token)
+    most = lambda test: F.coalesce(*[F.when(cls == c, F.lit(b)) for (t, c), b in sorted(cuts.items()) if t == test], F.lit(BINS + 1))
+    return F.when(testable(token), (bin_of(words_p(token)) >= most("words")) & (bin_of(p_value(token)) < most("random"))).otherwise(F.lit(False))
 
 
 def find(docs: DataFrame, *keep: str, rate: float = RATE) -> DataFrame:
@@ -129,17 +170,11 @@ def find(docs: DataFrame, *keep: str, rate: float = RATE) -> DataFrame:
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": TOKEN}
     df = df.select("*", *[F.regexp_extract_all("_t", F.lit(p), F.lit(0)).alias(f"m_{k}") for k, p in patterns.items()])
     df = df.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split("_t", p, -1)).alias(f"g_{k}") for k, p in patterns.items()], F.when(F.size("m_assign") > 0, F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(2))).alias("v_assign"))
-
-    def random(x: Column) -> Column:
-        most = F.lit(BINS + 1)
-        for c, b in sorted(cuts.items()):
-            most = F.when(length_class(x["m"]) == c, F.lit(b)).otherwise(most)
-        return F.when(testable(x["m"]), p_bin(x["m"]) < most).otherwise(F.lit(False))
-
-    keeps = {"assign": lambda x, i: F.length(F.get(F.col("v_assign"), i)) >= 6, "access": lambda x: F.lit(True), "hex": lambda x: F.lit(True), "random": random}
+    keeps = {"assign": lambda x: F.length(x["more"]) >= 6, "random": lambda x: is_random(x["m"], cuts)}
     parts = []
     for rank, k in enumerate(patterns):
-        parts.append(F.transform(F.filter(places(F.col(f"m_{k}"), F.col(f"g_{k}")), keeps[k]), span(k, rank)))
+        at = places(F.col(f"m_{k}"), F.col(f"g_{k}"), F.col("v_assign") if k == "assign" else None)
+        parts.append(F.transform(F.filter(at, keeps[k]) if k in keeps else at, span(k, rank)))
     df = df.select(*keep, F.sort_array(F.concat(*parts)).alias("spans"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return df.select(*keep, *[count_kind(F.col("spans"), k).alias(f"n_{k}") for k in BASE], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
