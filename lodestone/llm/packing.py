@@ -10,13 +10,15 @@ holds the lengths of WINDOW pieces and no more, and a lost task is redone alone.
 Sequence numbers are (partition number << 40) + a count. Defined cases: a null or empty text is its closing id alone;
 repeated rows and null ids are documents of their own; extra columns are ignored; an empty table gives an empty one.
 Ids are those of the vocabulary file by its own library; a second library with the same vocabulary computes them
-several times faster, and texts that it refuses go to the first.
+several times faster. Texts that hold a string of an added token (which the first library reads as that token), and
+those with a run of LONG_RUN white-space characters, where the second's pattern engine overflows, go to the first.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 
 MAX_TOKENS, CLOSING = 2048, 1
 WINDOW = 2048
+LONG_RUN = 100_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 _encoders: dict = {}
@@ -38,25 +41,20 @@ def encoder(name: str = "byte_bpe_50k"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers as P
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(P.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        own = []
+        own = Tokenizer.from_file(P.path(f"{name}.json"))
+        added = [t.content for t in own.get_added_tokens_decoder().values()]
 
         def plain(text: str) -> list[int]:
-            if not own:
-                from tokenizers import Tokenizer
-
-                own.append(Tokenizer.from_file(P.path(f"{name}.json")))
-                own[0].encode_special_tokens = True
-            return own[0].encode(text, add_special_tokens=False).ids
+            return own.encode(text, add_special_tokens=False).ids
 
         def encode(text: str) -> list[int]:
-            try:
-                return fast.encode_ordinary(text)
-            except Exception:  # noqa: BLE001  its pattern engine gives up on some very long runs
-                return plain(text)
+            long = len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in re.finditer(r"\s+", text))
+            return plain(text) if long or any(t in text for t in added) else fast.encode_ordinary(text)
 
         encode.plain = plain
         _encoders[name] = encode
