@@ -2,6 +2,8 @@ import collections
 import hashlib
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -133,6 +135,44 @@ def test_pii_context_is_the_text_before(spark):
     assert {r.doc_id: r.text for r in pii.redact(df).collect()}[1] == "SSN: <ssn>, <ssn>"
 
 
+def test_dense_matches_take_linear_time(spark):
+    rows = [(1, " ".join(f"user{i}@host{i}.example.org" for i in range(100_000))), (2, "+1 234 567 8901, " * 50_000), (3, "1" * 1_000_000), (4, "token=abcdef1 " * 60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    t = time.perf_counter()
+    got = {r.doc_id: r for r in pii.find(df, "doc_id").collect()}
+    assert (got[1].n_email, got[2].n_phone, got[3].n_card) == (100_000, 50_000, 0)
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()}[1] == " ".join(["<email>"] * 100_000)
+    assert {r.doc_id: r.n_assign for r in secrets.find(df, "doc_id").collect()}[4] == 60_000
+    assert time.perf_counter() - t < 120
+
+
+def test_pii_against_brute_force(spark):
+    rnd = random.Random(9)
+    parts = ["a.b@c.de", "x@y", "1.2.3.4", "1.2.3.4.5.6", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 123-4567", "+1 2", "card", "é😀", ",", "12", "@", ".", "call", "hotel", "born 1980-02-30", "dob 1980-01-31"]
+    rows = [(i, "".join(rnd.choice(parts) + rnd.choice([" ", "", "\n"]) for _ in range(rnd.randrange(0, 25)))) for i in range(300)]
+
+    def luhn(d):
+        return sum(int(c) if k % 2 == 0 else sum(map(int, str(2 * int(c)))) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    tests = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    ]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    for d, t in rows:
+        found = sorted((m.start(), k, m.end(), kind) for k, (kind, p, ok) in enumerate(tests) for m in re.finditer(p, t) if ok(m[0]))
+        base = ",".join(f"{kind}:{a}:{z}" for a, _, z, kind in found)
+        assert got[d].base_sha256 == hashlib.sha256(base.encode()).hexdigest(), t
+        assert [s for s in got[d].spans.split(",") if s and s.split(":")[0] in ("email", "ip", "card", "phone")] == base.split(",") * bool(base)
+        scores = dict(zip(got[d].spans.split(","), got[d].scores.split(",")))
+        for a, _, z, kind in found:
+            if kind == "phone":
+                near = re.search(r"(?<![a-z])(phone|call|tel|telephone|mobile)(?![a-z])", t[max(0, a - 40) : a].lower()) and not (a > 40 and re.match("[a-z]", t[a - 41].lower()) and not re.search(r"[^a-z](phone|call|tel|telephone|mobile)(?![a-z])", t[a - 40 : a].lower()))
+                assert scores[f"phone:{a}:{z}"] == ("60" if near else "40"), t
+
+
 def test_repeats_against_brute_force(spark):
     rnd = random.Random(3)
     base = ["".join(rnd.choices("ab é", k=400)) for _ in range(3)]
@@ -163,12 +203,58 @@ def test_secrets_base_and_random(spark):
     assert got[1].spans.split(",") == want and got[2].n_access == 1 and got[3].n_hex == 1 and got[4].spans == "random:0:43"
 
 
+def test_secrets_base_against_brute_force(spark):
+    rnd = random.Random(21)
+    parts = ["token", "=", ":", '"', "'", " ", "abcdef", "AKIA", "A" * 16, "0" * 23, "ab", "API_key", "apikey", "password", "é", "\n", "x-y_z.="]
+    rows = [(i, "".join(rnd.choices(parts, k=rnd.randrange(0, 30)))) for i in range(400)]
+    kinds = [
+        ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: len(m[2]) >= 6),
+        ("access", r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 20),
+        ("hex", r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 24),
+    ]
+    got = {r.doc_id: r for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    for d, t in rows:
+        found = sorted((m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k, (kind, p, flags, ok) in enumerate(kinds) for m in re.finditer(p, t, flags) if ok(m))
+        assert got[d].base_sha256 == hashlib.sha256(",".join(x for _, _, x in found).encode()).hexdigest(), t
+
+
+def test_secrets_reports_are_precise(spark):
+    rnd = random.Random(2)
+    words = "value index parser handle config stream buffer customer record count table column update message service request response manager factory builder context session version".split()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(0, "HelloWorldThisIsAVariable123", 0, 0), (1, "ISO8859-1_to_UTF8_converter", 0, 0)]
+    for i in range(2, 3000):
+        if rnd.random() < 0.3:
+            n = rnd.choice([20, 24, 32, 40, 64])
+            rows.append((i, "".join(rnd.choices(letters, k=n)), 1, n))
+        else:
+            w = [rnd.choice(words) for _ in range(rnd.randrange(3, 6))]
+            rows.append((i, rnd.choice(["_".join(w), "-".join(w), "".join(w), "".join(x.title() for x in w)]) + str(rnd.randrange(2030)), 0, 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, secret int, n int")
+    got = secrets.find(df, "doc_id", "secret", "n").toPandas()
+    hit = got.spans.str.contains("random")
+    assert (got.secret[hit] == 1).mean() >= 0.95 and hit.sum() > 100
+    assert hit[got.n == 64].mean() > 0.9 and hit[got.n == 40].mean() > 0.6
+
 def test_packing_is_whole_and_tight(spark):
-    rows = [(i, "some words here, déjà vu! " * (i * 7 % 190)) for i in range(120)]
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(4)
+    letters = "abc déß ÄÖ\n\t  .,!?'’-0123456789日本語😀\u3000\u200b"
+    rows = [(i, "".join(rnd.choices(letters, k=rnd.randrange(0, 400))) + "some words here, déjà vu! " * (i * 7 % 190)) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, "<|endoftext|> a <|endoftext|>b"), (203, "x" + " " * 150_000 + "y"), (204, "don't I'll we've " * 2000), (205, "\r\n \r\n a")]
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).toPandas()
-    encode = packing.encoder()
-    assert all(encode(t) == encode.plain(t) for _, t in rows[:20])
-    assert got.groupby("doc_id").length.sum().to_dict() == {d: len(encode(t)) + 1 for d, t in rows}
+    want = {d: np.array([*own.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for d, t in rows}
+    assert want[202].tolist()[:2] == [50256, 257]
+    place = dict.fromkeys(want, 0)
+    for r in got.sort_values(["doc_id", "start"]).itertuples():
+        ids = want[r.doc_id]
+        assert r.start == place[r.doc_id] and r.doc_tokens == len(ids)
+        assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        place[r.doc_id] += r.length
+    assert place == {d: len(x) for d, x in want.items()}
     total = got.groupby("sequence_id").length.sum()
     assert total.max() <= 2048 and len(total) * 2048 - total.sum() < 2 * 2048
     got = got.sort_values(["sequence_id", "offset"])
