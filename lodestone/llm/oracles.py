@@ -91,11 +91,17 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size) OVER (ORDE
   / sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 v AS (SELECT min_by(level, source_size / weight) FILTER (level * weight <= source_size * 3.0::DOUBLE) AS level FROM l),
 g AS (SELECT source, source_size, least(v.level * weight, source_size * 3.0::DOUBLE)::DOUBLE AS target FROM l, v),
-c AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0 END AS copies FROM g),
-p AS (SELECT *, floor(copies)::BIGINT AS whole, greatest(0, round(target)::BIGINT - floor(copies)::BIGINT * source_size) AS room, copies - floor(copies) AS f FROM c),
-o AS (SELECT d.*, p.source_size, p.target, p.whole, p.room, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, room - used)))::BIGINT AS taken FROM o"""
+k AS (SELECT d.source, length(bin(size)) - 1 AS cls, sum(size)::BIGINT AS words, any_value(g.target) AS target FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source WHERE size > 0 GROUP BY d.source, length(bin(size))),
+h AS (SELECT *, (target - coalesce(sum(words) OVER (PARTITION BY source ORDER BY cls DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3.0::DOUBLE)
+  / sum(words * (cls + 8)) OVER (PARTITION BY source ORDER BY cls DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM k),
+y AS (SELECT source, max(cls) AS cls, max_by(level, cls) AS level FROM h WHERE level * (cls + 8) <= 3.0::DOUBLE GROUP BY source),
+e AS (SELECT h.source, h.cls, words, CASE WHEN y.cls IS NULL OR h.cls > y.cls THEN 3.0::DOUBLE ELSE least(y.level * (h.cls + 8), 3.0::DOUBLE) END AS copies FROM h LEFT JOIN y ON h.source IS NOT DISTINCT FROM y.source),
+x AS (SELECT source, sum(floor(copies)::BIGINT * words)::BIGINT AS sure FROM e GROUP BY source),
+p AS (SELECT d.*, g.source_size, g.target, coalesce(floor(copies), 0)::BIGINT AS whole, coalesce(copies - floor(copies), 0) AS p, greatest(0, round(g.target)::BIGINT - coalesce(x.sure, 0)) AS room
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source AND e.cls = length(bin(size)) - 1 AND size > 0),
+q AS (SELECT *, (u / (1 - u)) / (greatest(least(p, 0.999999999999::DOUBLE), 1e-12::DOUBLE) / (1 - greatest(least(p, 0.999999999999::DOUBLE), 1e-12::DOUBLE))) AS q, p > 1e-12 AND size > 0 AS asks FROM p),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, asks ORDER BY q, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM q)
+SELECT doc_id, size, source_size, target, (whole * size + CASE WHEN asks THEN greatest(0, least(size, room - used)) ELSE 0 END)::BIGINT AS taken FROM o"""
 
 OP8 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
