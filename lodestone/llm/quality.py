@@ -5,8 +5,8 @@ conjunction of its thresholds; a lasso logistic regression over the rules keeps
 compiled into one Spark column expression, a sigmoid of a weighted sum of conditions. Statistics are shares and means,
 so texts of any length are alike; neither labels, language, source nor id is among them.
 
-Training takes at most TRAIN_ROWS labelled rows, those of least hash, to the driver as numbers (a documented bound);
-everything else runs on the executors. Rows whose crc32(doc_id as text) mod 5 is 0 are never trained on.
+Training takes at most TRAIN_ROWS labelled ids, those of least hash, to the driver as numbers (a documented bound, one
+row an id); everything else runs on the executors. Rows whose crc32(doc_id as text) mod 5 is 0 are never trained on.
 
 Defined cases: a null or empty text has all statistics 0 and gets a score; labels of a null or repeated doc_id are
 ignored and counted once (the highest label); without both labels among the training rows every score is the mean
@@ -158,12 +158,22 @@ def known(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max("quality").cast("double").alias("_y"))
 
 
-def fit(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ensemble:
-    """The ensemble trained on the labelled documents of stats (doc_id and statistics) outside fold 0."""
+def training_ids(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id and _y of the labelled ids of docs outside fold 0 that have the least hashes, at most rows, settled. They
+    are counted, and only those under a hash that about 1.2 * rows of them pass are sorted, so no task and not the driver
+    sees more."""
+    ids = settle(known(labels).join(docs.select("doc_id"), "doc_id", "left_semi"))
+    share = min(1.0, 1.2 * rows / max(ids.count(), 1))
+    low = F.xxhash64("doc_id").cast("double") < F.lit(share * 2.0**64 - 2.0**63)
+    return settle((ids if share == 1.0 else ids.where(low)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+
+
+def fit(stats: DataFrame, ids: DataFrame) -> Ensemble:
+    """The ensemble trained on ids (training_ids()) with their statistics in stats; of rows of one id the least counts."""
     cols = [f"_q_{n}" for n in NAMES]
-    train = stats.join(known(labels), "doc_id").select(F.xxhash64("doc_id").alias("_h"), "_y", *cols).orderBy("_h", *cols).limit(rows)
-    got = np.array([tuple(r)[1:] for r in train.collect()], float).reshape(-1, len(cols) + 1)
-    return fit_arrays(got[:, 1:], got[:, 0])
+    train = stats.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_y").agg(F.min(F.struct(*cols)).alias("x")).select("_y", "x.*", F.xxhash64("doc_id").alias("_h"))
+    got = np.array(sorted(tuple(r)[::-1] for r in train.collect()), float).reshape(-1, len(cols) + 2)[:, 1:]
+    return fit_arrays(got[:, -2::-1], got[:, -1])
 
 
 def prefixed(prefix: str = "_q_") -> dict[str, Column]:
@@ -172,25 +182,19 @@ def prefixed(prefix: str = "_q_") -> dict[str, Column]:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted, a row for each document."""
-    stats = measured(docs)
-    model = fit(stats, labels)
+    with passing(docs.sparkSession) as keep:
+        stats = keep(measured(docs))
+        model = fit(stats, training_ids(stats, labels))
     df = stats.select("doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), model.score(prefixed()).alias("score"))
     return df.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def training_docs(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id and text of the documents that fit() can take: those of the labelled ids of least hash, at most rows ids,
-    so their broadcast is bounded and only their texts are measured."""
-    ids = docs.select("doc_id").join(known(labels), "doc_id", "left_semi").distinct()
-    ids = settle(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-
-
 def filter_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least threshold, all columns kept as they are. A plain filter on the score would
     be planned over the texts, statistic by statistic; an array of the row or of nothing is not."""
     with passing(docs.sparkSession):
-        model = fit(with_statistics(training_docs(docs, labels)), labels)
+        ids = training_ids(docs, labels)
+        model = fit(with_statistics(docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")), ids)
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     df = with_statistics(docs.select(row.alias("_whole"), F.col("text")))
