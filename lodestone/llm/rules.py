@@ -2,8 +2,12 @@
 
 Each rule is a condition under which a text is rejected. On a bounded sample the cascade measures what each rule
 costs and how much of the sample it rejects, then asks the rules in order of rejection per cost; the first rule that
-holds ends the row's evaluation. A row's verdict is the OR of the rules, so the measured order moves time and never
-the result.
+holds ends the row's evaluation, and the statistics that only later rules read are not computed for it. A row's verdict
+is the OR of the rules, so the measured order moves time and never the result; which rule ended a row is not returned.
+`reasons` names all rules that hold, for those who want to know.
+
+`apply_rules` returns the statistics of the base rule for every row, so there the base rule costs nothing more and is
+asked first; the statistics of the other rules are computed for the rows that it passes, in the cascade's order.
 
 Defined cases: a null or empty text has no words (all counts 0) and fails the base rule; repeated rows and null ids
 give a row each; an empty table gives an empty one; extra columns are ignored by `apply_rules`, kept by `keep_good`.
@@ -67,10 +71,13 @@ def features(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def measure(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns in keep and every statistic of features(), a row for each row of docs; each text is split once."""
-    base = docs.select(*keep, text_of().alias("_t")).select(*keep, "_t", words_of(F.col("_t")).alias("_w"))
-    return base.select(*keep, *[c.alias(k) for k, c in features(F.col("_t"), F.col("_w")).items()])
+#: Statistics that apply_rules() returns.
+SHOWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def split_once(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns in keep, _t (the text) and _w (its words)."""
+    return docs.select(*keep, text_of().alias("_t")).select(*keep, "_t", words_of(F.col("_t")).alias("_w"))
 
 
 @dataclass(frozen=True)
@@ -100,21 +107,25 @@ def web_rules() -> list[Rule]:
 
 
 def estimate(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[Rule, float, float]]:
-    """(rule, share rejected, seconds) on the first `rows` rows that an incremental take finds, each rule over the
-    text itself. The driver holds `rows` texts of at most `chars` characters; they set the order of the rules only."""
+    """(rule, share rejected, seconds beyond splitting the texts) on the first `rows` rows that an incremental take
+    finds, each rule over the text itself. The driver holds `rows` texts of at most `chars` characters; they set the
+    order of the rules only."""
     taken = docs.select(F.left(text_of(), F.lit(chars)).alias("_t")).take(rows)
     if not taken:
         return [(r, 0.0, 1.0) for r in rules]
     sample = docs.sparkSession.createDataFrame(taken, "_t string").coalesce(1).cache()
     sample.count()
     x = features(F.col("_t"), words_of(F.col("_t")))
-    out = []
-    for r in rules:
+
+    def ask(test: Column) -> tuple[float, float]:
         t = time.perf_counter()
-        share = sample.agg(F.avg(F.coalesce(r.rejects(x), F.lit(False)).cast("int"))).first()[0]
-        out.append((r, float(share or 0), time.perf_counter() - t))
+        share = sample.agg(F.avg(F.coalesce(test, F.lit(False)).cast("int"))).first()[0]
+        return float(share or 0), time.perf_counter() - t
+
+    idle = min(ask(x["n_words"] < 0)[1] for _ in range(2))
+    out = [(r, *min((ask(r.rejects(x)) for _ in range(2)), key=lambda y: y[1])) for r in rules]
     sample.unpersist()
-    return out
+    return [(r, share, max(seconds - idle, 1e-4)) for r, share, seconds in out]
 
 
 def order(estimates: list[tuple[Rule, float, float]]) -> list[Rule]:
@@ -123,11 +134,19 @@ def order(estimates: list[tuple[Rule, float, float]]) -> list[Rule]:
 
 
 def cascade(rules: list[Rule], x: dict[str, Column]) -> Column:
-    """The name of the first rule that rejects the row, null for none; CASE ends at the first that holds."""
-    out = F.when(F.lit(False), F.lit(""))
+    """Whether a rule rejects the row; CASE ends at the first that holds and computes nothing that only later ones read."""
+    out = F.when(F.lit(False), F.lit(True))
     for r in rules:
-        out = out.when(r.rejects(x), F.lit(r.name))
-    return out
+        out = out.when(r.rejects(x), F.lit(True))
+    return out.otherwise(F.lit(False))
+
+
+def reasons(docs: DataFrame, *keep: str, rules: list[Rule] | None = None) -> DataFrame:
+    """The columns in keep and rules, the names of all rules that reject the row, in the order they are given."""
+    df = split_once(docs, *keep)
+    x = features(F.col("_t"), F.col("_w"))
+    names = F.array(*[F.when(r.rejects(x), F.lit(r.name)) for r in rules or web_rules()])
+    return df.select(*keep, F.array_compact(names).alias("rules"))
 
 
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -135,12 +154,14 @@ def keep_good(docs: DataFrame, rules: list[Rule] | None = None, rows: int = SAMP
     so a text that an early rule rejects pays for no later one."""
     ranked = order(estimate(docs, rules or web_rules(), rows))
     text = text_of()
-    return docs.where(cascade(ranked, features(text, words_of(text))).isNull())
+    return docs.where(~cascade(ranked, features(text, words_of(text))))
 
 
 def apply_rules(docs: DataFrame, *keep: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The columns in keep, all statistics, base_failed, failed_rule and kept."""
-    ranked = order(estimate(docs, web_rules(), rows))
-    measured = measure(docs, *keep)
-    x = {k: F.col(k) for k in measured.columns if k not in keep}
-    return measured.withColumns({"base_failed": base_failed(x), "failed_rule": cascade(ranked, x)}).withColumn("kept", F.col("failed_rule").isNull())
+    """The columns in keep, the statistics in SHOWN, base_failed and kept."""
+    base, *others = web_rules()
+    ranked = order(estimate(docs, others, rows))
+    every = features(F.col("_t"), F.col("_w"))
+    df = split_once(docs, *keep).select(*keep, "_t", "_w", *[every[k].alias(k) for k in SHOWN])
+    x = {k: F.col(k) if k in SHOWN else c for k, c in every.items()}
+    return df.select(*keep, *SHOWN, base.rejects(x).alias("base_failed"), (~cascade([base, *ranked], x)).alias("kept"))
