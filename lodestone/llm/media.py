@@ -1,9 +1,13 @@
 """Media columns as MPEG transport streams (188-byte packets, ISO/IEC 13818-1).
 
-`mux` stores a payload as one private elementary stream: a program association table, a program map table, and
-packetised elementary units of UNIT payload bytes, each begun with a presentation time stamp and a random-access flag
-on every GROUP-th unit. `demux` reads bytes alone: it parses the tables (checking their CRC), checks each stream's
-continuity counter, reassembles the units and gives the payload, the time stamps and the random-access points.
+`mux` stores a payload as one private elementary stream of packetised units of UNIT payload bytes, each begun with a
+presentation time stamp. Every GROUP-th unit is a random-access point: before it stand a program association table and a
+program map table, and its first packet carries the random-access flag and the program clock. `demux` reads bytes alone:
+it parses all tables (checking their CRC, and that they do not change), checks the continuity counter of every stream,
+tables included, reassembles the units and gives the payload, the time stamps, the clock and the random-access points.
+
+`streams` stores texts, `parse` reads stored streams, `describe` does both and gives digests. Time stamps (ticks of a
+90 kHz clock) and the packets at which random-access units begin are columns, so a reader can seek without the stream.
 
 Defined cases: a null or empty text is one block of spaces; equal texts give equal rows; repeated rows and null ids
 give a row each; extra columns are ignored; an empty table gives an empty one; damaged streams raise ValueError.
@@ -24,7 +28,7 @@ PACKET, SYNC, BLOCK = 188, 0x47, 192
 PAT_PID, PMT_PID, ES_PID = 0, 0x100, 0x101
 PRIVATE_DATA, STREAM_ID = 0x06, 0xBD
 UNIT, GROUP, TICKS = 8 * BLOCK, 4, 3600
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>"
 
 
 def _crc_table() -> list[int]:
@@ -53,27 +57,35 @@ def section(table_id: int, number: int, body: bytes) -> bytes:
     return head + body + crc32_mpeg(head + body).to_bytes(4, "big")
 
 
-def packet(pid: int, counter: int, payload: bytes, start: bool, flags: int = 0) -> bytes:
-    """One packet; what the payload leaves free is an adaptation field of stuffing. flags: its flag byte."""
+def packet(pid: int, counter: int, payload: bytes, start: bool, flags: int = 0, extra: bytes = b"") -> bytes:
+    """One packet; what the payload leaves free is an adaptation field. flags: its flag byte, extra: what the flags
+    announce; the rest is stuffing."""
     room = PACKET - 4 - len(payload)
     if room == 0 and not flags:
         adaptation = b""
     elif room == 1 and not flags:
         adaptation = b"\x00"
     else:
-        adaptation = bytes([room - 1, flags]) + b"\xff" * (room - 2)
+        adaptation = bytes([room - 1, flags]) + extra + b"\xff" * (room - 2 - len(extra))
     head = bytes([SYNC, (0x40 if start else 0) | pid >> 8, pid & 0xFF, (0x30 if adaptation else 0x10) | counter & 15])
     return head + adaptation + payload
 
 
-def _tables() -> bytes:
+def _tables(counter: int) -> bytes:
     pat = section(0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
     pmt = section(2, 1, (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE_DATA]) + (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00")
     fill = lambda s: b"\x00" + s + b"\xff" * (PACKET - 5 - len(s))
-    return packet(PAT_PID, 0, fill(pat), True) + packet(PMT_PID, 0, fill(pmt), True)
+    return packet(PAT_PID, counter, fill(pat), True) + packet(PMT_PID, counter, fill(pmt), True)
+
+
+#: The two tables' packets by their continuity counter.
+TABLES = [_tables(c) for c in range(16)]
+RANDOM_ACCESS, CLOCK = 0x40, 0x10
 
 
-TABLES = _tables()
+def clock(t: int) -> bytes:
+    """A program clock reference of t ticks: 33 bits, 6 reserved ones, an extension of 9 bits."""
+    return ((t << 15) | 0x7E00).to_bytes(6, "big")
 
 
 def stamp(t: int) -> bytes:
@@ -81,12 +93,18 @@ def stamp(t: int) -> bytes:
 
 
 def mux(payload: bytes) -> bytes:
-    out, counter = [TABLES], 0
+    out, counter = [], 0
     for k, at in enumerate(range(0, len(payload), UNIT)):
         data = payload[at : at + UNIT]
-        pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(data) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + stamp(k * TICKS & (2**33 - 1)) + data
-        first = PACKET - 4 - (2 if k % GROUP == 0 else 0)
-        out.append(packet(ES_PID, counter, pes[:first], True, 0x40 if k % GROUP == 0 else 0))
+        t = k * TICKS & (2**33 - 1)
+        pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(data) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + stamp(t) + data
+        if k % GROUP == 0:
+            out.append(TABLES[k // GROUP & 15])
+            first = PACKET - 4 - 8
+            out.append(packet(ES_PID, counter, pes[:first], True, RANDOM_ACCESS | CLOCK, clock(t)))
+        else:
+            first = PACKET - 4
+            out.append(packet(ES_PID, counter, pes[:first], True))
         counter += 1
         body = pes[first:]
         n = len(body) // (PACKET - 4)
@@ -105,11 +123,14 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
+    """random_access: the packets at which such units begin; clocks: the program clock at them."""
+
     payload: bytes = b""
     packets: int = 0
     units: int = 0
     stamps: list[int] = field(default_factory=list)
     random_access: list[int] = field(default_factory=list)
+    clocks: list[int] = field(default_factory=list)
 
 
 def _section(packet_payload: bytes, table_id: int) -> bytes:
@@ -129,29 +150,37 @@ def demux(data: bytes) -> Stream:
     if (p[:, 0] != SYNC).any():
         raise ValueError("lost synchronisation")
     pid = (p[:, 1].astype(int) & 0x1F) << 8 | p[:, 2]
-    control = p[:, 3] >> 4 & 3
-    begin = np.where(control & 2, 5 + p[:, 4].astype(int), 4)
+    begin = np.where(p[:, 3] >> 4 & 2, 5 + p[:, 4].astype(int), 4)
 
-    def table(which: int, table_id: int) -> bytes:
+    def packets_of(which: int) -> np.ndarray:
         rows = np.flatnonzero(pid == which)
         if not len(rows):
-            raise ValueError("missing table")
-        return _section(p[rows[0], begin[rows[0]] :].tobytes(), table_id)
+            raise ValueError("missing stream")
+        if ((np.diff((p[rows, 3] & 15).astype(int)) & 15) != 1).any():
+            raise ValueError("continuity counter breaks")
+        return rows
+
+    def table(which: int, table_id: int) -> bytes:
+        rows = packets_of(which)
+        bodies = {_section(x, table_id) for x in {p[r, begin[r] :].tobytes() for r in rows}}
+        if len(bodies) != 1:
+            raise ValueError("tables change")
+        return bodies.pop()
 
     pat = table(PAT_PID, 0)
     pmt = table(int.from_bytes(pat[2:4], "big") & 0x1FFF, 2)
-    if pmt[4] != PRIVATE_DATA:
-        raise ValueError("another stream type")
-    own = np.flatnonzero(pid == int.from_bytes(pmt[5:7], "big") & 0x1FFF)
-    counters = p[own, 3] & 15
-    if ((np.diff(counters.astype(int)) & 15) != 1).any():
-        raise ValueError("continuity counter breaks")
+    if pmt[4] != PRIVATE_DATA or pmt[:2] != pmt[5:7]:
+        raise ValueError("another stream type, or a clock elsewhere")
+    own = packets_of(int.from_bytes(pmt[5:7], "big") & 0x1FFF)
     out, parts = Stream(packets=len(p)), []
     starts = np.flatnonzero(p[own, 1] & 0x40)
     for k, a in enumerate(starts):
         rows = own[a : starts[k + 1] if k + 1 < len(starts) else len(own)]
-        if begin[rows[0]] > 5 and p[rows[0], 5] & 0x40:
-            out.random_access.append(k)
+        flags = int(p[rows[0], 5]) if begin[rows[0]] > 5 else 0
+        if flags & RANDOM_ACCESS:
+            out.random_access.append(int(rows[0]))
+        if flags & CLOCK:
+            out.clocks.append(int.from_bytes(p[rows[0], 6:12].tobytes(), "big") >> 15)
         plain = begin[rows] == 4
         if plain[1:-1].all() and len(rows) > 2:
             pes = p[rows[0], begin[rows[0]] :].tobytes() + p[rows[1:-1], 4:].tobytes() + p[rows[-1], begin[rows[-1]] :].tobytes()
@@ -180,9 +209,13 @@ def feature(s: Stream) -> str:
     return f"packets={s.packets};units={s.units};rap={len(s.random_access)};last_pts={s.stamps[-1]};mean={x.mean():.4f};dev={x.std():.4f};entropy={abs((share * np.log2(share)).sum()):.4f}"
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+def _batch(rows: list[tuple], names: str, kinds: list) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names.split())
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     for batch in batches:
         rows = []
         for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -190,21 +223,36 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stored = mux(padded(raw))
             back = demux(stored)
             own = back.payload
-            rows.append((d, len(raw), len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(back)))
-        cols = list(zip(*rows)) if rows else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+            rows.append((d, len(raw), len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(back), back.stamps, back.random_access))
+        yield _batch(rows, "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature pts random_access", kinds)
+
+
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _batch([(d, mux(padded((t or "").encode()))) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], "doc_id media", [pa.int64(), pa.binary()])
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    longs = pa.list_(pa.int64())
+    for batch in batches:
+        read = [(d, demux(m)) for d, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield _batch([(d, s.payload, s.packets, s.units, s.stamps, s.random_access, s.clocks) for d, s in read], "doc_id payload packets units pts random_access clocks", [pa.int64(), pa.binary(), pa.int64(), pa.int64(), longs, longs, longs])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
 
 
 def streams(docs: DataFrame) -> DataFrame:
     """doc_id and media (the stored stream) of docs (doc_id, text)."""
+    return _texts(docs).mapInArrow(_store, "doc_id long, media binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mux(padded((t or "").encode())) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "media"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, media binary")
+def parse(stored: DataFrame) -> DataFrame:
+    """doc_id, payload, packets, units, pts, random_access and clocks of stored (doc_id, media)."""
+    return stored.select("doc_id", "media").mapInArrow(_parse, "doc_id long, payload binary, packets long, units long, pts array<long>, random_access array<long>, clocks array<long>")
 
 
 def describe(docs: DataFrame) -> DataFrame:
     """SCHEMA's columns: every text stored as a stream, read back and described."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_rows, SCHEMA)
+    return _texts(docs).mapInArrow(_describe, SCHEMA)
