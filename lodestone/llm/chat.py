@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import let
+
 MARK, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 #: Fixed value: the conversation added to every input of the query.
@@ -33,16 +35,17 @@ def unescape(text: Column) -> Column:
 def format_chats(rows: DataFrame) -> DataFrame:
     """conv_id and formatted, a row for each conversation of rows (conv_id, turn, role, text)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    role = F.replace(escape(role), F.lit("\n"), F.lit("\\\n"))
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", role.alias("role"), escape(text).alias("text")))).alias("_turns"))
-    t = F.col("_turns")
+    sorted_turns = F.sort_array(F.collect_list(F.struct("turn", role.alias("role"), text.alias("text"))))
+    safe = lambda x: F.struct(F.replace(escape(x["role"]), F.lit("\n"), F.lit("\\\n")).alias("role"), escape(x["text"]).alias("text"))
+    def joined(t: Column) -> Column:
+        def block(x: Column, i: Column) -> Column:
+            goes_on = (i > 0) & (F.get(t, i - 1)["role"] == x["role"])
+            last = F.coalesce(F.get(t, i + 1)["role"] != x["role"], F.lit(True))
+            return F.concat(F.when(goes_on, F.lit(SEP)).otherwise(F.concat(F.lit(MARK), x["role"], F.lit("\n"))), x["text"], F.when(last, F.lit(END + "\n")).otherwise(F.lit("")))
 
-    def block(x: Column, i: Column) -> Column:
-        goes_on = (i > 0) & (F.get(t, i - 1)["role"] == x["role"])
-        last = F.coalesce(F.get(t, i + 1)["role"] != x["role"], F.lit(True))
-        return F.concat(F.when(goes_on, F.lit(SEP)).otherwise(F.concat(F.lit(MARK), x["role"], F.lit("\n"))), x["text"], F.when(last, F.lit(END + "\n")).otherwise(F.lit("")))
+        return F.array_join(F.transform(t, block), "")
 
-    return turns.select("conv_id", F.array_join(F.transform(t, block), "").alias("formatted"))
+    return rows.groupBy("conv_id").agg(sorted_turns.alias("_plain")).select("conv_id", let(F.transform("_plain", safe), joined).alias("formatted"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
