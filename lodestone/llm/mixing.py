@@ -127,15 +127,15 @@ def take(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them, all columns kept: a row for each whole copy, and for a copy in part a row whose text
     ends with the last word taken. Rows that agree in id, source and size share equally, rounded down, what the mix takes
     of them; only where the line falls within them does that leave words out, fewer than their number."""
-    key = ["_id", "_source", "_size"]
     with passing(docs.sparkSession) as keep:
         taken = mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.floor(F.sum("taken") / F.count("*")).alias("_taken"))
         taken = sized(keep(settle(taken.where("_taken > 0"))))
-    left = docs.withColumns({"_own_size": F.regexp_count(text_of(), F.lit(WORD)).cast("long")})
-    both = left.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_own_size") == F.col("_size")))
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_own_id"), F.col("source").cast("string").alias("_own_source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("_own_size"))
+    both = rows.join(taken, F.col("_own_id").eqNullSafe(F.col("_id")) & F.col("_own_source").eqNullSafe(F.col("_source")) & (F.col("_own_size") == F.col("_size")))
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size"))))
-    rows = both.select(*[F.col(f"`{c}`") for c in docs.columns], *key, "_taken", copy.alias("_copy"))
+    both = both.select("_row", "_size", "_taken", copy.alias("_copy"))
     words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
-    spans = F.slice(F.regexp_extract_all("text", F.lit(r"(?s)[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), words)
-    text = F.when(words < F.col("_size"), F.array_join(spans, "")).otherwise(F.col("text"))
-    return rows.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    spans = F.slice(F.regexp_extract_all(F.col("_row")["text"], F.lit(r"(?s)[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), words)
+    text = F.when(words < F.col("_size"), F.array_join(spans, "")).otherwise(F.col("_row")["text"])
+    return both.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in names])
