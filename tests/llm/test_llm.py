@@ -282,12 +282,35 @@ def test_packing_takes_the_least_cost_with_room():
 def test_media_round_trip_and_damage():
     for n in (0, 1, 191, 192, 193, 5000, 100_001):
         p = media.padded(bytes(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8)))
-        s = media.demux(media.mux(p))
-        assert s.payload == p and s.stamps == [k * media.TICKS for k in range(s.units)] and s.random_access == list(range(0, s.units, media.GROUP))
-    bad = bytearray(media.mux(b" " * 1920))
-    bad[188 * 4 + 3] ^= 1
-    with pytest.raises(ValueError):
-        media.demux(bytes(bad))
+        raw = media.mux(p)
+        s = media.demux(raw)
+        assert s.payload == p and s.stamps == [k * media.TICKS for k in range(s.units)] and s.packets * 188 == len(raw)
+        assert s.clocks == s.stamps[:: media.GROUP] and len(s.random_access) == len(s.clocks)
+        for at in s.random_access:  # tables stand before each, so a reader can begin there
+            assert media.demux(raw[188 * (at - 2) :]).payload == p[s.clocks[s.random_access.index(at)] // media.TICKS * media.UNIT :]
+    raw = media.mux(b" " * 20_000)
+    last = media.demux(raw).random_access[-1]
+    for where in (188 * 4 + 3, 188 * (last - 1) + 3, 188 * (last - 2) + 20, 188 * (last - 2) + 3, 0):
+        bad = bytearray(raw)
+        bad[where] ^= 1
+        with pytest.raises(ValueError):
+            media.demux(bytes(bad))
+
+
+def test_media_columns_against_plain_python(spark):
+    rows = [(1, None), (2, ""), (3, "é" * 4000), (4, "x" * 192), (5, "x" * 193), (5, "x" * 193), (None, "abc " * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = media.describe(df).collect()
+    stored = {r.doc_id: bytes(r.media) for r in media.streams(df).collect()}
+    read = {r.doc_id: r for r in media.parse(media.streams(df)).collect()}
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(d) for d, _ in rows)
+    for r in got:
+        raw = (dict(rows)[r.doc_id] or "").encode()
+        pay = raw + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest())
+        assert bytes(read[r.doc_id].payload) == pay and read[r.doc_id].pts == r.pts and read[r.doc_id].random_access == r.random_access
+        assert f"mean={np.frombuffer(pay, np.uint8).mean():.4f};" in r.feature and len(r.pts) == -(-len(pay) // media.UNIT)
 
 
 def test_chat_reads_back(spark):
@@ -296,14 +319,75 @@ def test_chat_reads_back(spark):
     assert got == {1: [("a\\b\nc", "\\<|x|>\\\\|\n"), ("", ""), ("", "")], None: [("assistant", "<\\|im_end|>"), ("assistant", "<|im_end|>")]}
 
 
+def test_chat_edges(spark):
+    rows = [(1, 2, "user", "b\\"), (1, 2, "user", "b<|"), (1, 2, "user", "bz"), (1, 2, "a\\", "x"), (1, 2, "a\n", "y"), (1, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"formatted": F.lit("x"), "_turns": F.lit(1), "turns": F.lit(2)})
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.read_back(chat.format_chats(df)).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, (r[2] or "").encode(), (r[3] or "").encode()))
+    assert got == {1: [(r or "", t or "") for _, _, r, t in want]}
+    assert chat.digest(chat.format_chats(df.limit(0))).count() == 0
+    assert {r.conv_id: r.n_turns for r in chat.digest(chat.format_chats(chat.with_adversary(df))).collect()} == {1: 6, -1: 2}
+    long = spark.createDataFrame([(7, i, ("user", "assistant")[i // 3 % 2], "t" * (i % 50)) for i in range(20_000)], df.select("conv_id", "turn", "role", "text").schema)
+    r = chat.digest(chat.format_chats(long)).first()
+    said = "".join("t" * (i % 50) for i in range(20_000) if i // 3 % 2)
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (20_000, len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def mixing_rows():
+    rnd = random.Random(6)
+    return [(i, "w " * rnd.choice([1, 2, 3, 7, 30, 200, 900]), f"s{i % 4}" if i % 9 else None) for i in range(900)]
+
+
 def test_mixing_hits_targets(spark):
-    rows = [(i, "w " * (i % 50 + 1), f"s{i % 4}" if i % 9 else None) for i in range(900)]
+    rows = mixing_rows()
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
     by = got.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"))
     assert (abs(by.target - by.taken) <= 1).all() and (got.taken <= 3 * got["size"]).all()
     assert abs(by.target.sum() - got["size"].sum()) < 1e-6
 
 
+def test_mixing_against_plain_pareto_sampling(spark):
+    rows = mixing_rows()
+    got = {r.doc_id: r.taken for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    target = {r.source: r.target for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    shares = set()
+    for source, goal in target.items():
+        docs = [(d, len(t.split())) for d, t, s in rows if s == source]
+        low, high = 0.0, 3.0
+        for _ in range(200):  # the level by bisection
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(n * min(3.0, mid * (8 + n.bit_length() - 1)) for _, n in docs) < goal else (low, mid)
+        want, ranked = {}, []
+        for d, n in docs:
+            c = min(3.0, low * (8 + n.bit_length() - 1))
+            shares.add(round(c, 6))
+            want[d] = int(c) * n
+            u = (int(hashlib.md5(str(d).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            if c - int(c) > 1e-9:
+                p = c - int(c)
+                ranked.append(((u / (1 - u)) / (p / (1 - p)), d, n))
+        room = max(0, round(goal) - sum(want.values()))
+        for _, d, n in sorted(ranked):
+            take = min(n, room)
+            want[d] += take
+            room -= take
+        assert want == {d: got[d] for d, _ in docs}, source
+    assert len(shares) > 10
+
+
+def test_mixing_takes_what_it_says(spark):
+    rows = [(i, f"a{i} b  c\td\ne"[: 3 + i % 8], f"s{i % 3}") for i in range(60)] + [(7, "x y z w v u t s r q", "s0")] * 40 + [(99, None, None), (98, "", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"_taken": F.lit(5), "size": F.lit("q")})
+    want = {r.source: (r.target, r.taken) for r in mixing.mix(df).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    got = mixing.take(df)
+    assert got.columns == df.columns
+    words = {r.source: r.n for r in got.groupBy("source").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))).alias("n")).collect()}
+    for source, (target, taken) in want.items():
+        assert abs(target - taken) <= 1 and taken - 40 < words.get(source, 0) <= taken, source
+    texts = {t for _, t, _ in rows if t}
+    assert all(any(t.startswith(r.text) for t in texts) for r in got.collect())
+
+
 def test_quality_held_out():
     rng = np.random.default_rng(0)
     X = rng.random((3000, len(quality.NAMES)))
@@ -315,6 +399,43 @@ def test_quality_held_out():
     assert ((z > 0) == y[2000:]).mean() > 0.97
 
 
+def test_quality_of_texts(spark):
+    """Held-out order of good and bad texts, the compiled column against plain arithmetic, and the bound on training rows."""
+    rnd = random.Random(12)
+    words = "the river runs under a bridge and people walk along it every morning before work starts in town".split()
+
+    def good():
+        return ". ".join(" ".join(rnd.choices(words, k=rnd.randrange(6, 14))).capitalize() for _ in range(rnd.randrange(3, 9))) + "."
+
+    def bad():
+        return rnd.choice([lambda: "BUY NOW!!! $$$ " * rnd.randrange(3, 30), lambda: "| # | * | " * rnd.randrange(5, 40), lambda: (rnd.choice(words) + " ") * rnd.randrange(20, 60)])()
+
+    rows = [(i, good(), 1) if rnd.random() < 0.7 else (i, bad(), 0) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    marks = df.select("doc_id", "quality")
+    got = quality.score(df.select("doc_id", "text"), marks).toPandas().merge(marks.toPandas(), on="doc_id")
+    held = got[got.held_out]
+    assert set(held.doc_id) == {d for d, _, _ in rows if zlib.crc32(str(d).encode()) % 5 == 0}
+    rank = held.score.rank()
+    k, n = (held.quality == 1).sum(), len(held)
+    assert (rank[held.quality == 1].sum() - k * (k + 1) / 2) / (k * (n - k)) > 0.95
+    assert (got.predicted == (got.score >= 0.3)).all() and got.score.between(0, 1).all()
+    ids = quality.training_ids(df, marks, 100)
+    assert ids.count() == 100 and all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in ids.collect())
+    least = [r.doc_id for r in quality.known(marks).orderBy(F.xxhash64("doc_id")).limit(100).collect()]
+    assert {r.doc_id for r in ids.collect()} == set(least)
+    stats = quality.with_statistics(df.select("doc_id", "text"))
+    model = quality.fit(stats, quality.training_ids(df, marks))
+    pdf = stats.withColumn("score", model.score(quality.prefixed())).toPandas()
+    X = pdf[[f"_q_{x}" for x in quality.NAMES]].to_numpy()
+    z = model.bias + sum(w * quality.fires(X, r) for w, r in zip(model.weights, model.rules))
+    assert np.allclose(1 / (1 + np.exp(-z)), pdf.score)
+    kept = {r.doc_id for r in quality.filter_good(df.select("doc_id", "text"), marks).collect()}
+    assert kept == set(got.doc_id[got.predicted == 1])
+    twice = df.select("doc_id", "text").unionByName(df.where("doc_id = 1").select("doc_id", "text").crossJoin(spark.range(500).select()))
+    assert quality.fit(quality.with_statistics(twice), quality.training_ids(twice, marks)) == model
+
+
 def test_rules_cascade(spark):
     rows = [(1, "clean words in a line of their own with more than ten"), (2, "few"), (3, "a b c d e " * 9), (4, "$$$ " * 20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -322,3 +443,17 @@ def test_rules_cascade(spark):
     assert [got[i].kept for i in (1, 2, 3, 4)] == [True, False, False, False] and got[3].n_repeat_words == 45
     assert [r.doc_id for r in rules.keep_good(df).collect()] == [1]
     assert collections.Counter(r.base_failed for r in got.values())[True] == 3
+    assert {r.doc_id: r.rules for r in rules.reasons(df, "doc_id").collect()} == {1: [], 2: ["base"], 3: ["base", "word_length"], 4: ["base", "symbols", "stutter"]}
+
+
+def test_rules_do_not_depend_on_the_order(spark):
+    rnd = random.Random(1)
+    rows = [(i, rnd.choice(["ok words follow here and there in plain sense of it ", "A! B! C! ", "$ # ", "x\nx\n", "LOUD WORDS "]) * rnd.randrange(1, 9) + " tail") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id for r in rules.reasons(df, "doc_id").collect() if not r.rules}
+    for seed in range(3):
+        some = rules.web_rules()
+        random.Random(seed).shuffle(some)
+        text = rules.text_of()
+        assert {r.doc_id for r in df.where(~rules.cascade(some, rules.features(text, rules.words_of(text)))).collect()} == want
+    assert {r.doc_id for r in rules.keep_good(df).collect()} == want == {r.doc_id for r in rules.apply_rules(df, "doc_id").collect() if r.kept}
