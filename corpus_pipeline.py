@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", classify), ("near_duplicates", deduplicate), ("personal_data", redact), ("mixing", mix), ("packing", pack)]
-#: The trained classifier is not SQL; tests hold the stages against brute-force versions.
+#: The trained classifier is not SQL; tests/llm/test_pipeline.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 
