@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A token keeps dotted, dashed and numbered names whole, then words of letters and digits, then single CJK characters.
+#: A token keeps dotted and dashed names whole; else it is a run of letters, digits and underscores.
 TOKEN = r"[\p{L}\p{N}_]+(?:[.-][\p{L}\p{N}_]+)*"
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -24,9 +24,15 @@ def ellipsis(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.rtrim(F.left(text, F.lit(most - 3))), F.lit("..."))).otherwise(text)
 
 
+def bound(x: Column, step) -> Column:
+    """step(x) with x computed once, however often step reads it."""
+    return F.get(F.transform(F.array(x), step), F.lit(0))
+
+
 def ngrams(text: Column, n: int = 3) -> Column:
-    """Character n-grams in order."""
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """Character n-grams in order, from the characters as an array, so time is linear in the text."""
+    grams = lambda c: F.transform(F.slice(c, 1, F.size(c) - (n - 1)), lambda _, i: F.concat(*[F.get(c, i + j) for j in range(n)]))
+    return F.when(F.length(text) >= n, bound(F.split(text, ""), grams)).otherwise(F.array().cast("array<string>"))
 
 
 def title(text: Column) -> Column:

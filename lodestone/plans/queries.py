@@ -10,23 +10,9 @@ from lodestone.operators import answers, chunks, dense, enrich, filters, groundi
 from lodestone.sources import web
 from lodestone.streaming import metrics as stream
 from lodestone.streaming import state
+from lodestone.plans.registry import QUERIES, SQL, TOK, query, read
 
-QUERIES, SQL = {}, {}
-TOK = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+(?:[.-][\p{L}\p{N}_]+)*'), lambda x: length(x) >= 2)"
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["QUERIES", "SQL"]
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,3 +349,6 @@ def rate_limited(spark, sf_dir):
     """At most two events of a user within six hours."""
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("event_id").alias("id"))
     return state.rate_limited(e, 2, 6 * 3600e6).select("id", "allowed")
+
+
+from lodestone.plans import documents, evaluation, operations, search  # noqa: E402, F401  they register theirs
