@@ -29,6 +29,26 @@ def bound(x: Column, step) -> Column:
     return F.get(F.transform(F.array(x), step), F.lit(0))
 
 
+def running(values: Column, step, neutral: Column) -> Column:
+    """Running results of an associative step over an array: each round combines an entry with the one 1, 2, 4, ... places
+    before, so n entries cost n log n and no array grows entry by entry."""
+
+    def scan(v: Column) -> Column:
+        rounds = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda d: d < F.size(v))
+        return F.aggregate(rounds, v, lambda acc, d: F.zip_with(acc, F.concat(F.array_repeat(neutral, d), F.slice(acc, F.lit(1), F.size(acc) - d)), lambda x, before: step(before, x)))
+
+    return bound(values, scan)
+
+
+def distinct_ci(values: Column, most: int = 1_000_000) -> Column:
+    """The first of each value, case apart, in order, blanks dropped, at most `most`."""
+
+    def first(v: Column) -> Column:
+        return bound(F.transform(v, lambda x: F.lower(x)), lambda low: F.slice(F.filter(v, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, most))
+
+    return bound(F.filter(values, lambda x: F.trim(x) != ""), first)
+
+
 def ngrams(text: Column, n: int = 3) -> Column:
     """Character n-grams in order, from the characters as an array, so time is linear in the text."""
     grams = lambda c: F.transform(F.slice(c, 1, F.size(c) - (n - 1)), lambda _, i: F.concat(*[F.get(c, i + j) for j in range(n)]))

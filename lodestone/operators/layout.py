@@ -47,7 +47,7 @@ def captions(images: DataFrame, blocks: DataFrame, reach: float = 140.0) -> Data
     document and the page, so a group is one page."""
     c = blocks.where("kind = 'caption'").select("doc_id", "page", F.col("y0").alias("_y"), F.col("text").alias("caption"))
     near = images.join(c, ["doc_id", "page"], "left").withColumn("_d", F.when(F.abs(F.col("_y") - F.col("y1")) <= reach, F.abs(F.col("_y") - F.col("y1"))))
-    pick = F.row_number().over(Window.partitionBy("doc_id", "page", "image_id").orderBy(F.asc_nulls_last("_d"), "_y"))
+    pick = F.row_number().over(Window.partitionBy("doc_id", "page", "image_id").orderBy(F.asc_nulls_last("_d"), "_y", "caption"))
     return near.withColumn("_n", pick).where("_n = 1").withColumn("caption", F.when(F.col("_d").isNotNull(), F.col("caption"))).drop("_n", "_d", "_y")
 
 

@@ -137,11 +137,6 @@ def chunk_quality(spark, sf_dir):
     return chunks.chunk_quality(chunks.sliding_window(read(spark, sf_dir, "documents")))
 
 
-@query()
-def headed_sections(spark, sf_dir):
-    return chunks.headed_sections(read(spark, sf_dir, "documents"), heading=r"^[A-Z]")
-
-
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[Bb]earer [A-Za-z0-9._~+/-]+=*', 'Bearer [REDACTED]', 'g'), 'sk-[A-Za-z0-9]{16,}|AKIA[A-Z0-9]{16}', '[API_KEY]', 'g'), '(password|passwd|secret|token|api_key)(\s*[:=]\s*)\S+', '\1\2[REDACTED]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS text FROM documents""")
 def redaction(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", tx.mask(F.col("text")).alias("text"))

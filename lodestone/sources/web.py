@@ -1,14 +1,10 @@
-"""Web pages and files as documents."""
+"""Web pages as documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Suffixes that are read as documents.
-SUFFIXES = ("pdf", "md", "txt", "html", "htm", "docx", "py", "js", "java")
-
-
 def html_title(html: Column) -> Column:
     """<title>, else the first <h1>, else Untitled."""
     pick = lambda tag: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]*>", "")), F.lit(""))
@@ -20,15 +16,3 @@ def html_text(html: Column) -> Column:
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>|<!--.*?-->", "")
     lines = F.split(F.regexp_replace(bare, "<[^>]*>", "\n"), "\n")
     return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), "\n")
-
-
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, suffix, content of supported files under path."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    return df.select("path", suffix.alias("suffix"), "content").where(F.col("suffix").isin(*SUFFIXES))
-
-
-def decoded(content: Column) -> Column:
-    """UTF-8 where valid, else Latin-1."""
-    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
