@@ -34,6 +34,11 @@ def retained(rows: DataFrame, at: str, now: Column, days: int = 30) -> DataFrame
     return rows.where(F.col(at) >= now - F.expr(f"interval {days} days"))
 
 
+def without(rows: DataFrame, gone: Column) -> DataFrame:
+    """rows but for the traces that gone holds for."""
+    return rows.where(~F.coalesce(gone, F.lit(False)))
+
+
 def audit(actor: Column, query: Column, preview: int = 80) -> list[Column]:
     """actor_hash, query_hash and a preview: who asked what, without either in full."""
     return [F.left(F.sha2(actor, 256), F.lit(16)).alias("actor_hash"), F.sha2(query, 256).alias("query_hash"), F.left(query, F.lit(preview)).alias("preview")]
