@@ -15,7 +15,8 @@ RRF_K = 60
 
 
 def postings(docs: DataFrame, least: int = 2) -> DataFrame:
-    """doc_id, term, tf, doc_length (repeats counted): counted within each document's row, so no shuffle."""
+    """doc_id, term, tf, doc_length (repeats counted). A document's tokens are counted where they are made; one shuffle
+    of its distinct terms follows."""
     rows = docs.select("doc_id", tokens(F.col("text"), least).alias("ts"))
     return rows.select("doc_id", F.size("ts").alias("doc_length"), F.explode("ts").alias("term")).groupBy("doc_id", "doc_length", "term").agg(F.count("*").alias("tf"))
 
@@ -34,20 +35,27 @@ def query_terms(queries: DataFrame, least: int = 2) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"), least)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def wanted_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, dl, term, tf of the terms asked for, and a row of an empty term for each document with a token. What df, N
+    and mean length need is in it, and whoever reads all its columns shares its one shuffle: documents are read once."""
+    asked = terms.select("term").distinct().unionByName(docs.sparkSession.sql("SELECT '' AS term"))
+    rows = docs.select("doc_id", F.concat(F.array(F.lit("")), tokens(F.col("text"), 2)).alias("ts")).where(F.size("ts") > 1)
+    rows = rows.select("doc_id", (F.size("ts") - 1).alias("dl"), F.explode("ts").alias("term")).join(F.broadcast(asked), "term", "left_semi")
+    return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, score for every document with a query term. Documents are cut down to the queries' terms
-    before anything is counted or shuffled; df comes from the same cut rows."""
+    """query_id, doc_id, score for every document with a query term. Documents are cut down to the queries' terms (a
+    query batch's, so broadcast) before anything is counted or shuffled; all statistics come from the same cut rows."""
     terms = query_terms(queries)
-    stats = corpus_statistics(docs)
-    wanted = terms.select("term").distinct()
-    rows = docs.select("doc_id", tokens(F.col("text"), 2).alias("ts"))
-    cut = rows.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(wanted, "term", "left_semi")
-    cut = cut.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = cut.groupBy("term").agg(F.count("*").alias("df"))
+    cut = wanted_terms(docs, terms)
+    some = (F.col("tf") > 0) & (F.col("dl") > 0) & F.coalesce(F.col("doc_id") == F.col("doc_id"), F.lit(True))
+    stats = cut.where("term = ''").agg(F.count_if(some).alias("n_docs"), F.avg(F.when(some, F.col("dl"))).alias("avgdl"))
+    df = cut.where("term <> ''").groupBy("term").agg(F.count_if(some).alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(1.0)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
-    scored = cut.join(df.join(terms, "term"), "term").crossJoin(F.broadcast(stats))
+    scored = cut.where("term <> ''").join(df.join(terms, "term"), "term").crossJoin(F.broadcast(stats))
     return scored.groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("qtf")).alias("score"))
 
 
