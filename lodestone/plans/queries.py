@@ -153,17 +153,24 @@ def redaction(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", tx.mask(F.col("text")).alias("text"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls, trim(array_to_string(regexp_extract_all(trim(regexp_replace(text, '[ \t\r\n\x0b\x0c]+', ' ', 'g')), '[^.!?]+[.!?]*')[:3], '')) AS s FROM documents)
+SELECT doc_id, coalesce(regexp_replace(list_filter(ls, lambda x: regexp_matches(x, '^#{1,6} '))[1], '^#+ ', ''), list_filter(ls[:5], lambda x: length(x) <= 60 AND NOT regexp_matches(x, '[.,]$'))[1], 'Untitled') AS title, CASE WHEN length(s) > 240 THEN rtrim(left(s, 237)) || '...' ELSE s END AS summary FROM l""")
 def titles_and_summaries(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", tx.title(F.col("text")).alias("title"), tx.summary(F.col("text")).alias("summary"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')), '') AS t, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '') AS h,
+  regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>|<!--.*?-->', '', 'g'), '<[^>]*>', chr(10), 'g') AS bare FROM pages)
+SELECT page_id, coalesce(t, h, 'Untitled') AS title, array_to_string(list_filter(list_transform(string_split(bare, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM p""")
 def html_documents(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", web.html_title(F.col("html")).alias("title"), web.html_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(rf"""WITH {BM25}, b AS (SELECT query_id, doc_id, rank, b.text AS claim, d.text AS ev FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id WHERE rank <= 3),
+w AS (SELECT *, list_distinct(regexp_extract_all(lower(claim), '[\p{{L}}\p{{N}}_]+')) AS cw, list_distinct(regexp_extract_all(lower(ev), '[\p{{L}}\p{{N}}_]+')) AS ew, list_distinct(regexp_extract_all(claim, '[0-9]+(?:\.[0-9]+)?')) AS cn, list_distinct(regexp_extract_all(ev, '[0-9]+(?:\.[0-9]+)?')) AS en,
+  contains(lower(trim(regexp_replace(ev, '[ \t\r\n\x0b\x0c]+', ' ', 'g'))), lower(trim(regexp_replace(claim, '[ \t\r\n\x0b\x0c]+', ' ', 'g')))) AS inside FROM b),
+s AS (SELECT query_id, doc_id, rank, round(CASE WHEN inside THEN 1.0::DOUBLE ELSE 0.7::DOUBLE * CASE WHEN len(cw) = 0 THEN 1 ELSE len(list_intersect(cw, ew)) / len(cw) END + 0.3::DOUBLE * CASE WHEN len(cn) = 0 THEN 1 ELSE len(list_intersect(cn, en)) / len(cn) END END, 6) AS support FROM w)
+SELECT *, CASE WHEN support >= 0.35 THEN 'verified' WHEN support > 0 THEN 'partial' ELSE 'unsupported' END AS status FROM s""")
 def claim_support(spark, sf_dir):
     """Every benchmark passage as a claim, against its three best documents."""
     hits = bm25_list(spark, sf_dir, 3)
@@ -263,7 +270,8 @@ def sentence_chunks(spark, sf_dir):
     return splits.sentence_chunks(read(spark, sf_dir, "documents"))
 
 
-@query()
+@query("""WITH f AS (SELECT page_id AS doc_id, regexp_extract_all('page' || chr(10) || '```' || chr(10) || html || chr(10) || '```' || chr(10), '(?s)```.*?```') AS bs FROM pages), b AS (SELECT doc_id, i - 1 AS block, string_split(bs[i], chr(10)) AS ls FROM f, LATERAL (SELECT unnest(range(1, len(bs) + 1)) AS i)),
+p AS (SELECT doc_id, block, ls, unnest(range((len(ls) - 1) // 10 + 1)) AS part FROM b) SELECT doc_id, block::INTEGER AS block, part::INTEGER AS part, array_to_string(ls[part * 10 + 1:part * 10 + 10], chr(10)) AS text FROM p""")
 def code_chunks(spark, sf_dir):
     """Every page's markup in a fence, by ten lines."""
     p = read(spark, sf_dir, "pages")
@@ -324,10 +332,7 @@ def answer_claims(spark, sf_dir):
     return answers.claims(a, most=None).select("answer_id", "claim", "text", F.size("citations").alias("n_citations"), "confidence")
 
 
-FIELD = r"([\w一-鿿]{2,20})[ \t\r\n\x0b\x0c]*[:：=][ \t\r\n\x0b\x0c]*([^,，。；; \t\r\n\x0b\x0c]+)"
-
-
-@query(f"""WITH f AS (SELECT source, doc_id, unnest(regexp_extract_all(text, '{FIELD}', 1)) AS value, unnest(regexp_extract_all(text, '{FIELD}', 2)) AS says FROM documents),
+@query(f"""WITH f0 AS (SELECT source, doc_id, unnest(regexp_extract_all(text, '{answers.FIELD}', 1)) AS value, unnest(regexp_extract_all(text, '{answers.FIELD}', 2)) AS says, unnest(range(len(regexp_extract_all(text, '{answers.FIELD}', 2)))) AS i FROM documents), f AS (SELECT source, doc_id, value, arg_max(says, i) AS says FROM f0 GROUP BY ALL),
 s AS (SELECT source, doc_id, a || '/' || b AS value, unnest([a, b]) AS says, lower(text) AS t FROM documents, (VALUES {', '.join(f"('{a}', '{b}')" for a, b in answers.OPPOSITES)}) AS o(a, b)),
 u AS (SELECT source, doc_id, 'field_value' AS kind, value, says FROM f UNION ALL SELECT source, doc_id, 'status', value, says FROM s WHERE contains(t, says)),
 g AS (SELECT source, kind, value, says, min(doc_id) AS lo, max(doc_id) AS hi, count(DISTINCT doc_id) AS d FROM u GROUP BY ALL)
@@ -350,7 +355,9 @@ def sampled_traces(spark, sf_dir):
     return read(spark, sf_dir, "events").where(traces.sampled(F.col("event_id").cast("string"), 0.25)).select("event_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, TRUE AS allowed, us AS a1, NULL::BIGINT AS a2 FROM e WHERE n = 1 UNION ALL SELECT user_id, event_id, n, ok, CASE WHEN ok THEN us ELSE a1 END, CASE WHEN ok THEN a1 ELSE a2 END FROM (SELECT e.*, r.a1, r.a2, r.a2 IS NULL OR r.a2 <= e.us - 21600000000 AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT event_id AS id, allowed FROM r""")
 def rate_limited(spark, sf_dir):
     """At most two events of a user within six hours."""
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("event_id").alias("id"))
