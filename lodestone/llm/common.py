@@ -13,13 +13,17 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.files import spread
+
 #: White space between words: space and the bytes 9 to 13; every other character belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents that are small beside the cores are dealt over them, as they may be one row group."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, "doc_id", "text") if name == "documents" else df
 
 
 def text_of(col: str = "text") -> Column:
