@@ -169,8 +169,10 @@ def count_kind(array: Column, kind: str) -> Column:
     return F.size(F.filter(array, lambda s: s["kind"] == kind)).cast("long")
 
 
-#: Rows of ids that a broadcast may hold: 16 MB at most. Beyond it the same join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows and stored bytes that a broadcast may hold. Beyond either the same join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32_000_000
+#: Rows of one join key that a task may get; keys with more are dealt over several.
+HOT = 10_000
 
 
 def only(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
@@ -179,9 +181,31 @@ def only(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     return df.join(sized(ids), col, "left_semi")
 
 
+def small(settled: DataFrame) -> bool:
+    stored = int(settled._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return stored <= BROADCAST_BYTES and settled.count() <= BROADCAST_ROWS
+
+
 def sized(ids: DataFrame) -> DataFrame:
-    """A settled table of a few columns, marked for broadcast where its count allows it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    """A settled table of a few columns, marked for broadcast where its rows and bytes allow it."""
+    return F.broadcast(ids) if small(ids) else ids
+
+
+def copies_of(n: Column) -> Column:
+    """Over how many tasks a key of n rows is dealt."""
+    return F.ceil(n / F.lit(HOT)).cast("int")
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """left joined with right (settled, a row for each key, with copies = copies_of(the rows that left has of it)). A small
+    right is broadcast; else the rows of a hot key are dealt by other, and its row of right is copied to each part, so no
+    task gets more than about HOT rows of a key."""
+    if small(right):
+        return left.join(F.broadcast(right.drop("copies")), key)
+    hot = sized(settle(right.where("copies > 1").select(key, F.col("copies").alias("_copies"))))
+    left = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(other), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return left.join(right, [key, "_salt"]).drop("_salt")
 
 
 def release(spark: SparkSession) -> None:

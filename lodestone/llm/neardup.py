@@ -13,7 +13,8 @@ company across its buckets leads, every other is compared with it on the full se
 leader leaves its buckets, a bucket ends when its rest lies in one component, and the next leader follows. After
 the first round, entries that can have no partner by size and by elements of their own are dropped; after ROUNDS
 rounds, an exact prefix join over the nodes that are still open finds what pairs may be left. Components come from
-alternating large-star and small-star steps; no link, set or label passes through the driver.
+alternating large-star and small-star steps; no link, set or label passes through the driver. Buckets and leaders of very
+many rows are dealt over tasks (common.HOT); the stars' rows are two numbers, whose skew Spark's adaptive joins split.
 
 Defined cases: no words or no text: an empty set, linked with nothing; rows of one doc_id are judged by their own
 texts, and are one node where each is the least id of its class; rows of a null doc_id take the component of their class if it has another id, and else stay alone with a null component;
@@ -32,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import only, passing, release, settle, sized
+from lodestone.llm import common
+from lodestone.llm.common import copies_of, dealt_join, only, passing, release, settle, sized
 
 BANDS, ROWS = 45, 6
 T = BANDS * ROWS
@@ -150,12 +152,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that have sets, one each, with 100 * intersection >= percent * union."""
-    sized = sets.select("node", "part", F.size("items").alias("n"))
-    fit = pairs.join(sized.toDF("a", "pa", "na"), "a").join(sized.toDF("b", "pb", "nb"), "b")
+    """The pairs (a, b; settled) of nodes that have sets, with 100 * intersection >= percent * union of some set of each.
+    A node of very many pairs, as a leader may be, has its pairs dealt over tasks, each with a copy of its sets."""
+    held = sets.select("node", "part", "items", F.size("items").alias("n"))
+    hot, salt = None, []
+    if pairs.count() > common.HOT:  # else no node can have more
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(copies_of(F.count("*")).alias("copies")).where("copies > 1")
+        hot, salt, many = sized(settle(ends)), ["salt"], F.coalesce("copies", F.lit(1))
+        held = held.join(hot, "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("copies")
+
+    def beside(df: DataFrame, end: str, other: str, columns: list[str]) -> DataFrame:
+        """df with columns of the sets of its end."""
+        if hot is not None:
+            df = df.join(hot.withColumnRenamed("node", end), end, "left").withColumn("salt", F.pmod(F.xxhash64(other), many).cast("int")).drop("copies")
+        keys = [end, *salt, *([f"p{end}"] if f"p{end}" in df.columns else [])]
+        right = held.select(F.col("node").alias(end), *salt, F.col("part").alias(f"p{end}"), *[F.col(c).alias(f"{c}{end}") for c in columns])
+        return df.join(right, keys).drop(*salt)
+
+    fit = beside(beside(pairs, "a", "b", ["n"]), "b", "a", ["n"])
     fit = fit.where(F.lit(100) * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "pa", "b", "pb")
-    x = fit.join(sets.select("node", "part", "items").toDF("a", "pa", "sa"), ["a", "pa"]).join(sets.select("node", "part", "items").toDF("b", "pb", "sb"), ["b", "pb"])
-    x = x.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
+    x = beside(beside(fit, "a", "b", ["items"]), "b", "a", ["items"])
+    x = x.select("a", "b", F.size(F.array_intersect("itemsa", "itemsb")).alias("i"), (F.size("itemsa") + F.size("itemsb")).alias("t"))
     return x.where(F.lit(100) * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b").distinct()
 
 
@@ -169,8 +186,8 @@ def labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
 def still_open(now: DataFrame) -> DataFrame:
     """The entries (node, key, company, label, ...) of buckets that hold two components, with the leader and its label."""
     rank = F.struct("company", -F.col("node"))
-    keys = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("node", rank).alias("lead"), F.max_by("label", rank).alias("lead_label")).where("lo <> hi")
-    return now.join(keys.drop("lo", "hi"), "key")
+    keys = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("node", rank).alias("lead"), F.max_by("label", rank).alias("lead_label"), copies_of(F.count("*")).alias("copies")).where("lo <> hi")
+    return dealt_join(now, settle(keys.drop("lo", "hi")), "key", "node")
 
 
 def bounds(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,8 +205,8 @@ def bounds(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def possible(now: DataFrame) -> DataFrame:
     """Without the entries that can have no partner in their bucket, by the sizes in bounds()."""
-    keys = now.groupBy("key").agg(F.min("n").alias("_least"), F.max("most").alias("_most"))
-    return now.join(keys, "key").where("_least <= most and n <= _most").drop("_least", "_most")
+    keys = now.groupBy("key").agg(F.min("n").alias("_least"), F.max("most").alias("_most"), copies_of(F.count("*")).alias("copies"))
+    return dealt_join(now, settle(keys), "key", "node").where("_least <= most and n <= _most").drop("_least", "_most")
 
 
 def rest_pairs(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -220,7 +237,8 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFra
     entries = classes.select("node", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     with passing(spark) as keep:
-        entries = settle(entries.join(shared.select("key", "c"), "key"))
+        shared = settle(shared.select("key", "c", copies_of(F.col("c")).alias("copies")))
+        entries = settle(dealt_join(entries, shared, "key", "node"))
         company = entries.groupBy("node").agg(F.sum("c").alias("company"))
         entries = keep(settle(entries.select("node", "key").distinct().join(company, "node")))
         nodes = settle(entries.select("node").distinct())
