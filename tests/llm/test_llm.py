@@ -66,6 +66,25 @@ def test_near_duplicates_against_brute_force(spark):
         assert got == {d: top(d) for d in sets}
 
 
+def test_near_duplicates_of_hot_keys(spark, monkeypatch):
+    """Every join dealt: no broadcast, and parts of three rows."""
+    from lodestone.llm import common
+
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rnd.randrange(0, 4)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(9)}"
+        rows.append((i, " ".join(w) if i % 5 else " ".join(f"own{i}y{j}" for j in range(30))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, neardup.link(df, 2).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "HOT", 3)
+    assert sorted(map(tuple, neardup.link(df, 2).collect())) == want
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     rnd = random.Random(11)
     base = [[rnd.choice("abcdefghij") + str(rnd.randrange(60)) for _ in range(50)] for _ in range(8)]
