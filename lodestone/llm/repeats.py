@@ -6,18 +6,23 @@ more than a shard:
 1. Anchors. Each LENGTH-byte window has an anchor, the GRAM-byte string in it of least hash; equal windows have equal
    anchors. The windows of one anchor form a segment, 50 to 76 bytes, and a row (anchor, hash of the segment, document,
    place) is dealt to a shard by its anchor. Within CHUNK bytes of input, of equal segments only the least document's
-   is dealt; so a passage that a third of all documents share reaches its shard once a chunk.
-2. Shards. Equal segments collapse into one, of the least document; the others' windows are marked. Only where
-   different segments share an anchor can windows match in part, and only these segments are asked for.
+   is dealt; so a passage that a third of all documents share reaches its shard once a chunk. There is a shard for each
+   SHARD bytes of input, dealt over partitions of which there are at most MOST, and a task takes its shards one by one.
+2. Shards. Equal segments collapse into one, of the least document, and the others' windows are marked: whole copies are
+   decided here, by hash, and do not enter the index. Only where different segments share an anchor can windows match in
+   part, and only these segments are asked for.
 3. Index. The segments asked for are fetched, dealt again by anchor, and indexed: suffixes of all segments are sorted,
    the transform is cut into runs (also where a group of suffixes with a common LENGTH-byte beginning starts), and a
    run keeps its head, its start, the row its first character maps to, and the least document of its rows as its
    sample. Matching statistics are streamed: every segment is walked from its end by mapping rows through runs, all
    segments of a block at once; where LENGTH bytes remain, the row's group gives the least document that has them.
+   Segments of an anchor with more than HOT_ANCHOR of them are dealt by anchor and the bytes on one side of it: a window
+   that two of them share has SIDE bytes before the anchor or SIDE after it, so each match lies within one such group.
 
 Defined cases: a null or empty text, or one under LENGTH bytes, loses nothing; a null id counts as larger than every
 other; rows of one doc_id don't remove from each other; repeated rows lose the same bytes; extra columns are ignored;
-an empty table gives an empty one. Segments are told apart by 64-bit hashes under an equal anchor.
+an empty table gives an empty one. Segments are told apart by 48 bits of their hash under 40 bits of the anchor's beyond
+the shard's own part; two different ones of one anchor are taken for equal with probability 2^-48.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ from lodestone.llm.neardup import GOLDEN, mix64
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 CHUNK, PIECE, BLOCK = 3_000_000, 200_000, 400_000
+SHARD, MOST, HOT_ANCHOR = 8_000_000, 20_000, 4096
 SIDE = (LENGTH - GRAM) // 2
 LAST = np.iinfo(np.int64).max
 ROW = np.dtype([("anchor", "<u8"), ("segment", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "u1"), ("before", "u1"), ("after", "u1")])
@@ -75,7 +81,7 @@ class Hasher:
 
     def grams(self, k: int) -> np.ndarray:
         """Of every k neighbours."""
-        return mix64((self.sums[k:] - self.sums[:-k]) * self.up[: len(self.sums) - k] + np.uint64(k) * GOLDEN)
+        return mix64((self.sums[k:] - self.sums[:-k]) * self.up[: len(self.sums) - k] + np.full(1, k, np.uint64) * GOLDEN)
 
 
 def sliding(x: np.ndarray, w: int, best) -> np.ndarray:
@@ -236,55 +242,84 @@ def dealer(p: int):
     return run
 
 
-def settler(p: int):
-    """A partition of shards: marks pass; equal segments collapse; segments that share an anchor are asked for."""
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[tuple]]]:
+    """Marks to pass on, and the rows (shard, docs, rows) of one shard, from rows sorted by shard."""
+    dealt: list[tuple] = []
+    for batch in batches:
+        b, marks = batch.to_pydict(), []
+        for row in zip(b["shard"], b["kind"], b["d"], b["h"], b["docs"], b["rows"]):
+            if row[1] == MARK:
+                marks.append(row)
+                continue
+            if dealt and dealt[0][0] != row[0]:
+                yield [], dealt
+                dealt = []
+            dealt.append((row[0], row[4], row[5]))
+        if marks:
+            yield marks, []
+    if dealt:
+        yield [], dealt
+
+
+def settle_shard(p: int, most: int, dealt: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Of a shard: marks of segments that equal one of a lesser document, and asks for those that share an anchor; an
+    anchor of more than `most` of these is split by side."""
+    names, parts, base = [], [], 0
+    for shard, docs, rows in dealt:
+        own, part = np.frombuffer(docs, "<i8").reshape(-1, 3), unpacked(rows)
+        part["doc"] = np.repeat(np.arange(base, base + len(own)), own[:, 2])
+        part["anchor"] = part["anchor"] * np.uint64(p) + np.uint64(shard)
+        names.append(own)
+        parts.append(part)
+        base += len(own)
+    who, rows = np.concatenate(names), np.concatenate(parts)
+    del names, parts
+    ids = who[:, 0]
+    rows = rows[np.argsort(rows["anchor"])]
+    lone = np.concatenate([[True], rows["anchor"][1:] != rows["anchor"][:-1]])
+    rows = rows[~(lone & np.append(lone[1:], True))]
+    if not len(rows):
+        return
+    rows = rows[np.lexsort((ids[rows["doc"]], rows["segment"], rows["anchor"]))]
+    fresh = np.concatenate([[True], (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["segment"][1:] != rows["segment"][:-1])])
+    own = ids[rows["doc"]]
+    again = own > own[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    yield table([(0, MARK, int(who[d, 0]), int(who[d, 1]), None, v) for d, v in by_doc(rows["doc"][again], ranges(rows["at"][again].astype(np.int64), rows["n"][again].astype(np.int64)))])
+    rows, own = rows[~again], own[~again]
+    # a window of two different segments shares SIDE bytes before the anchor, or SIDE bytes after it
+    wanted = {}
+    for side in ("before", "after"):
+        key = rows["anchor"] * np.uint64(256) + rows[side]
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        many = np.minimum.reduceat(own[order], starts) != np.maximum.reduceat(own[order], starts)
+        wanted[side] = np.empty(len(rows), bool)
+        wanted[side][order] = np.repeat(many, np.diff(np.append(starts, len(rows)))) & (rows[side][order] > 0)
+    either = wanted["before"] | wanted["after"]
+    begins = np.flatnonzero(np.concatenate([[True], rows["anchor"][1:] != rows["anchor"][:-1]]))
+    sizes = np.diff(np.append(begins, len(rows)))
+    hot = np.repeat(np.add.reduceat(either.astype(np.int64), begins) > most, sizes)
+
+    def ask(which: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        asks = np.empty(int(which.sum()), ASK)
+        asks["anchor"], asks["at"], asks["n"] = keys[which], rows["at"][which], rows["n"][which]
+        return table([(0, ASKED, int(who[d, 0]), int(who[d, 1]), None, v) for d, v in by_doc(rows["doc"][which], asks)])
+
+    yield ask(either & ~hot, rows["anchor"])
+    if hot.any():
+        for k, side in enumerate(("before", "after")):
+            yield ask(wanted[side] & hot, mix64(rows["anchor"] * np.uint64(512) + rows[side] + np.uint64(256 * k)))
+
+
+def settler(p: int, most: int):
+    """Partitions of whole shards, sorted by shard: marks pass, each shard is settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, parts, base = [], [], 0
-        for batch in batches:
-            b = batch.to_pydict()
-            out = []
-            for i, kind in enumerate(b["kind"]):
-                if kind == MARK:
-                    out.append((b["shard"][i], MARK, b["d"][i], b["h"][i], None, b["rows"][i]))
-                else:
-                    own = np.frombuffer(b["docs"][i], "<i8").reshape(-1, 3)
-                    part = unpacked(b["rows"][i])
-                    part["doc"] = np.repeat(np.arange(base, base + len(own)), own[:, 2])
-                    part["anchor"] = part["anchor"] * np.uint64(p) + np.uint64(b["shard"][i])
-                    names.append(own)
-                    parts.append(part)
-                    base += len(own)
-            if out:
-                yield table(out)
-        if not parts:
-            return
-        who, rows = np.concatenate(names), np.concatenate(parts)
-        del names, parts
-        ids = who[:, 0]
-        rows = rows[np.argsort(rows["anchor"])]
-        lone = np.concatenate([[True], rows["anchor"][1:] != rows["anchor"][:-1]])
-        rows = rows[~(lone & np.append(lone[1:], True))]
-        if not len(rows):
-            return
-        rows = rows[np.lexsort((ids[rows["doc"]], rows["segment"], rows["anchor"]))]
-        fresh = np.concatenate([[True], (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["segment"][1:] != rows["segment"][:-1])])
-        own = ids[rows["doc"]]
-        again = own > own[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        yield table([(0, MARK, int(who[d, 0]), int(who[d, 1]), None, v) for d, v in by_doc(rows["doc"][again], ranges(rows["at"][again].astype(np.int64), rows["n"][again].astype(np.int64)))])
-        rows, own = rows[~again], own[~again]
-        # a window of two different segments shares SIDE bytes before the anchor, or SIDE bytes after it
-        wanted = np.zeros(len(rows), bool)
-        for side in ("before", "after"):
-            key = rows["anchor"] * np.uint64(256) + rows[side]
-            order = np.argsort(key, kind="stable")
-            starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-            many = np.minimum.reduceat(own[order], starts) != np.maximum.reduceat(own[order], starts)
-            wanted[order] |= np.repeat(many, np.diff(np.append(starts, len(rows)))) & (rows[side][order] > 0)
-        asks = np.empty(int(wanted.sum()), ASK)
-        for name in ("anchor", "at", "n"):
-            asks[name] = rows[name][wanted]
-        yield table([(0, ASKED, int(who[d, 0]), int(who[d, 1]), None, v) for d, v in by_doc(rows["doc"][wanted], asks)])
+        for marks, dealt in by_shard(batches):
+            if marks:
+                yield table(marks)
+            else:
+                yield from settle_shard(p, most, dealt)
 
     return run
 
@@ -349,8 +384,7 @@ class RunIndex:
             k *= 2
         rows = np.lexsort((owner, rank))
         before = np.where(rows > 0, text[rows - 1].astype(np.int64) + 1, 0)
-        first = np.concatenate([[True], owner[rows[1:]] >= 0]) & ((rows == 0) | (room[rows - 1] == 0))
-        before[first] = 0
+        before[(rows == 0) | (room[rows - 1] == 0)] = 0
         common = common[rows]
         group = np.concatenate([[True], (common[1:] != common[:-1]) | (common[1:] < 0)])
         run = group | np.concatenate([[True], before[1:] != before[:-1]])
@@ -381,19 +415,17 @@ class RunIndex:
             at[alive] -= 1
 
 
-def indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of shards of fetched segments: their marks, from an index of BLOCK bytes of whole anchors at a time."""
+def index_shard(dealt: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The marks of a shard of fetched segments, from an index of BLOCK bytes of whole groups at a time."""
     got: list[tuple] = []
-    for batch in batches:
-        b = batch.to_pydict()
-        for head, text in zip(b["docs"], b["rows"]):
-            k = len(head) // 40
-            ids = np.frombuffer(head, "<i8", 2 * k).reshape(-1, 2).tolist()
-            rest = np.frombuffer(head, "<u8", 3 * k, 16 * k).reshape(-1, 3).tolist()
-            at = 0
-            for (d, h), (anchor, start, size) in zip(ids, rest):
-                got.append((anchor, d, h, start, text[at : at + size]))
-                at += size
+    for _, head, text in dealt:
+        k = len(head) // 40
+        ids = np.frombuffer(head, "<i8", 2 * k).reshape(-1, 2).tolist()
+        rest = np.frombuffer(head, "<u8", 3 * k, 16 * k).reshape(-1, 3).tolist()
+        at = 0
+        for (d, h), (anchor, start, size) in zip(ids, rest):
+            got.append((anchor, d, h, start, text[at : at + size]))
+            at += size
     got.sort(key=lambda x: x[:4])
     i = 0
     while i < len(got):
@@ -414,6 +446,11 @@ def indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield table([(0, MARK, part[k][1], part[k][2], None, v) for k, v in by_doc(s, ranges(starts[s] + at, np.ones(len(at), np.int64)))])
 
 
+def indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, dealt in by_shard(batches):
+        yield from index_shard(dealt)
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -443,17 +480,25 @@ def remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.string()])], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
+def layout(docs: DataFrame) -> tuple[int, int]:
+    """Partitions and shards (a multiple of them) for the bytes of docs: the cluster's own number of partitions or a
+    shard each, MOST at most, and as many shards a partition as SHARD asks for."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shards(docs.sparkSession), min(MOST, -(-size // SHARD)))
+    return parts, parts * max(1, -(-size // (parts * SHARD)))
+
+
 def marks(docs: DataFrame) -> DataFrame:
     """d, h (of a document: its id, the largest number for null, and its text's hash) and marks, array<binary> of RANGE."""
     spark = docs.sparkSession
-    p = shards(spark)
+    parts, p = layout(docs)
+    dealt = lambda df: df.repartition(parts, "shard").sortWithinPartitions("shard")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
-    found = settle(keyed.mapInArrow(dealer(p), OUT).repartition(p, "shard").mapInArrow(settler(p), OUT).select("kind", "d", "h", "rows"))
+    found = settle(dealt(keyed.mapInArrow(dealer(p), OUT)).mapInArrow(settler(p, HOT_ANCHOR), OUT).select("kind", "d", "h", "rows"))
     release(spark)
     asks = found.where(F.col("kind") == ASKED).groupBy("d", "h").agg(F.collect_list("rows").alias("asks"))
     wanted = keyed.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("d"), "h", "text").join(asks, ["d", "h"])
-    more = wanted.mapInArrow(fetcher(p), OUT).repartition(p, "shard").mapInArrow(indexer, OUT)
-    more = settle(more.select("kind", "d", "h", "rows"))
+    more = settle(dealt(wanted.mapInArrow(fetcher(p), OUT)).mapInArrow(indexer, OUT).select("kind", "d", "h", "rows"))
     release(spark)
     return found.where(F.col("kind") == MARK).unionByName(more).groupBy("d", "h").agg(F.collect_list("rows").alias("marks"))
 
