@@ -192,7 +192,7 @@ def test_pii_against_brute_force(spark):
                 assert scores[f"phone:{a}:{z}"] == ("60" if near else "40"), t
 
 
-def test_repeats_against_brute_force(spark):
+def test_repeats_against_brute_force(spark, monkeypatch):
     rnd = random.Random(3)
     base = ["".join(rnd.choices("ab é", k=400)) for _ in range(3)]
     rows = [(i, "".join(rnd.choice(base)[rnd.randrange(0, 350) :][: rnd.randrange(0, 120)] for _ in range(8))) for i in range(40)] + [(100, "a" * 500), (101, "b" + "a" * 300), (None, "a" * 60), (5, base[1])]
@@ -208,8 +208,13 @@ def test_repeats_against_brute_force(spark):
             if first[b[i : i + 50]] < (repeats.LAST if d is None else d):
                 m[i : i + 50] = True
         want.append((str(d), len(b), int(m.sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~m])).hexdigest()))
-    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in repeats.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
-    assert sorted(got) == sorted(want)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for shard, hot in ((repeats.SHARD, repeats.HOT_ANCHOR), (500, 0), (3000, 2)):
+        monkeypatch.setattr(repeats, "SHARD", shard)
+        monkeypatch.setattr(repeats, "MOST", 2)
+        monkeypatch.setattr(repeats, "HOT_ANCHOR", hot)
+        got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in repeats.remove(df).collect()]
+        assert sorted(got) == sorted(want), (shard, hot)
 
 
 def test_secrets_base_and_random(spark):
