@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.sources.files import spread
+from lodestone.sources.spread import spread
 
 QUERIES, SQL = {}, {}
 TOK = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+(?:[.-][\p{L}\p{N}_]+)*'), lambda x: length(x) >= 2)"
