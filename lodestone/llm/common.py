@@ -171,6 +171,8 @@ def count_kind(array: Column, kind: str) -> Column:
 
 #: Rows and stored bytes that a broadcast may hold. Beyond either the same join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32_000_000
+#: Rows that are broadcast in place of a join by key that grows with the input.
+KEYS_ROWS = 100_000
 #: Rows of one join key that a task may get; keys with more are dealt over several.
 HOT = 10_000
 
@@ -181,9 +183,9 @@ def only(df: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     return df.join(sized(ids), col, "left_semi")
 
 
-def small(settled: DataFrame) -> bool:
+def small(settled: DataFrame, rows: int | None = None) -> bool:
     stored = int(settled._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return stored <= BROADCAST_BYTES and settled.count() <= BROADCAST_ROWS
+    return stored <= BROADCAST_BYTES and settled.count() <= (BROADCAST_ROWS if rows is None else rows)
 
 
 def sized(ids: DataFrame) -> DataFrame:
@@ -200,7 +202,7 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, other: str) -> DataF
     """left joined with right (settled, a row for each key, with copies = copies_of(the rows that left has of it)). A small
     right is broadcast; else the rows of a hot key are dealt by other, and its row of right is copied to each part, so no
     task gets more than about HOT rows of a key."""
-    if small(right):
+    if small(right, KEYS_ROWS):
         return left.join(F.broadcast(right.drop("copies")), key)
     hot = sized(settle(right.where("copies > 1").select(key, F.col("copies").alias("_copies"))))
     left = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(other), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
