@@ -81,6 +81,7 @@ def test_near_duplicates_of_hot_keys(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(map(tuple, neardup.link(df, 2).collect()))
     monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "KEYS_ROWS", -1)
     monkeypatch.setattr(common, "HOT", 3)
     assert sorted(map(tuple, neardup.link(df, 2).collect())) == want
 
