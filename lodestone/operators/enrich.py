@@ -53,10 +53,9 @@ def heading_path(text: Column, most: int = 5) -> Column:
 
 def refined(text: Column) -> Column:
     """Comments, tags and rules go, spaces and blank lines collapse; fenced code stays as it is."""
-    parts = F.split(text, "(?=```)|(?<=```)")
     plain = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>", ""), r"(?m)^[ \t]*(?:[─━═-]{10,})[ \t]*$", ""), r"[ \t]+", " "), r" ?\n(?:[ \t]*\n){2,}", "\n\n")
-    marked = F.aggregate(parts, F.struct(F.lit("").alias("out"), F.lit(False).alias("code")), lambda acc, p: F.struct(F.concat(acc["out"], F.when(acc["code"] | (p == "```"), p).otherwise(plain(p))).alias("out"), F.when(p == "```", ~acc["code"]).otherwise(acc["code"]).alias("code")), lambda acc: acc["out"])
-    return F.regexp_replace(F.regexp_replace(marked, r"(?m)[ \t]+$", ""), r"^\s+|\s+$", "")
+    parts = F.transform(F.split(text, "```", -1), lambda p, i: F.when(i % 2 == 1, p).otherwise(plain(p)))  # every second one is code
+    return F.regexp_replace(F.regexp_replace(F.array_join(parts, "```"), r"(?m)[ \t]+$", ""), r"^\s+|\s+$", "")
 
 
 #: A tag and what a text with it contains.

@@ -1,8 +1,10 @@
 import io
+import time
 import zipfile
 
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import distinct_ci
 from lodestone.operators import answers, enrich, layout, splits, traces
 from lodestone.plans import queries
 from lodestone.sources import office
@@ -97,6 +99,18 @@ def test_enrichment(spark):
     assert r.h == ["C", "D"] and r.f == "a b\n\n```\nx   y\n```" and len(r.q) == 3
 
 
+def test_enrichment_of_long_texts(spark):
+    many = " ".join(f"Name{i}Service name{i}service NAME{i % 7}SERVICE" for i in range(30000))
+    code = "a   b <br>\n```\nx   y\n```\n" * 5000
+    began = time.perf_counter()
+    r = spark.createDataFrame([(many, code)], "m string, c string").select(distinct_ci(F.split("m", " ")).alias("d"), enrich.refined(F.col("c")).alias("f")).first()
+    assert time.perf_counter() - began < 60
+    assert list(r.d) == [f"Name{i}Service" for i in range(30000)]
+    assert r.f == ("a b\n```\nx   y\n```\n" * 5000).rstrip()
+    empty = spark.createDataFrame([("", None), (None, "`` ```")], "m string, c string").select(distinct_ci(F.array("m")).alias("d"), enrich.refined(F.col("c")).alias("f")).collect()
+    assert [(list(x.d), x.f) for x in empty] == [([], None), ([], "`` ```")]
+
+
 def test_traces(spark):
     stages = [("s1", 5.0, None, [("d1", "c1", "p")]), ("s2", None, "d2", None)]
     t = spark.createDataFrame([("t", "ok", 9.0, "d0", stages), ("u", "ok", 1.0, None, None)], f"trace_id string, status string, elapsed_ms double, document_id string, stages {traces.STAGES}")
