@@ -238,6 +238,19 @@ def repeated_headers(spark, sf_dir):
     return layout.repeated_edges(d).withColumnRenamed("doc_id", "source")
 
 
+@query(f"""WITH e AS (SELECT source, doc_id, string_split(text, chr(10)) AS ls FROM documents), b AS (SELECT source, doc_id, 'header' AS place, {COMPACT.replace('text', 'ls[1]')} AS c FROM e UNION ALL SELECT source, doc_id, 'footer', {COMPACT.replace('text', 'ls[-1]')} FROM e),
+r AS (SELECT source AS rs, place AS rp, lower(c) AS norm FROM b WHERE c <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2), s AS (SELECT source AS ss, count(DISTINCT doc_id) > 1 AS several FROM documents GROUP BY source)
+SELECT doc_id, place, CASE WHEN norm IS NOT NULL THEN place WHEN place = 'footer' AND several AND regexp_matches(c, '{layout.PAGE_NUMBER}') THEN place ELSE 'body' END AS kind,
+  CASE WHEN norm IS NOT NULL THEN 'repeated_text' WHEN place = 'footer' AND several AND regexp_matches(c, '{layout.PAGE_NUMBER}') THEN 'page_number' END AS reason FROM b LEFT JOIN r ON source = rs AND place = rp AND lower(c) = norm LEFT JOIN s ON ss = source""")
+def page_bands(spark, sf_dir):
+    """The documents of a source as its pages, their first and last lines as blocks at the edges; equal texts only."""
+    ls = F.split("text", "\n")
+    block = lambda place, y, text: F.struct(F.lit(place).alias("place"), F.lit(y).alias("y0"), F.lit(y + 10.0).alias("y1"), text.alias("text"))
+    d = read(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.array(block("header", 10.0, F.get(ls, F.lit(0))), block("footer", 780.0, F.element_at(ls, -1)))).alias("b"))
+    d = d.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "b.*", F.lit(800.0).alias("height"))
+    return layout.page_bands(d, share=None).select(F.col("page").alias("doc_id"), "place", "kind", "reason")
+
+
 @query(r"""WITH r AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}\p{P}+=<>$%^|~`]')) AS e, greatest(len(regexp_extract_all(text, '[^ \t\r\n]')), 1) AS s FROM documents) SELECT doc_id, round(e / s, 6) AS ratio, e / s >= 0.8 AND e >= 20 AS passes FROM r""")
 def page_quality(spark, sf_dir):
     ratio, passes = layout.readable(F.col("text"), F.lit(1))

@@ -1,6 +1,8 @@
 import io
+import random
 import time
 import zipfile
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -62,6 +64,42 @@ def test_layout(spark):
     assert {r.image_id: r.caption for r in layout.captions(i, b).collect()} == {"i1": "near", "i2": None, "i3": None}
 
 
+def test_page_bands(spark):
+    heads = ["Annual report of the harbour board 2021", "Annual report of the harbour board 2022", "annual  report of the harbour board 2021", "Quite another line of text", "Annual report of harbour boards 21", "aaaa", "aaab", "short", None, ""]
+    rows = [(1, p, "h", 10.0, 20.0, 800.0, t) for p, t in enumerate(heads)] + [(1, p, "f", 780.0, 790.0, 800.0, f"Page {p} / 9") for p in range(2)]
+    rows += [(1, 0, "b", 400.0, 410.0, 800.0, heads[0]), (1, 1, "n", None, None, 800.0, heads[0]), (1, 2, "z", 0.0, 0.0, 0.0, heads[0]), (2, 1, "f", 780.0, 790.0, 800.0, "7"), (2, 1, "h", 1.0, 2.0, 800.0, "x"), (2, 1, "h", 1.0, 2.0, 800.0, "x")]
+    blocks = spark.createDataFrame(rows, "doc_id long, page int, id string, y0 double, y1 double, height double, text string")
+    like = lambda a, b: SequenceMatcher(None, a, b).ratio() >= 0.85
+    norms = [" ".join((t or "").lower().split()) for t in heads]
+    again = {a for a in norms if a and len({p for p, b in enumerate(norms) if b and like(a, b)}) >= 2}
+    want = {p for p, a in enumerate(norms) if a and any(like(a, b) for b in again)}
+    assert {0, 1, 2} <= want and not {3, 7, 8, 9} & want
+    got = layout.page_bands(blocks).collect()
+    assert len(got) == len(rows)
+    assert {r.page for r in got if r.doc_id == 1 and r.kind == "header"} == want
+    assert sorted((r.page, r.reason) for r in got if r.kind == "footer") == [(0, "repeated_text"), (1, "repeated_text")]
+    equal = layout.page_bands(blocks, share=None).collect()
+    assert {(r.page, r.kind, r.reason) for r in equal if r.kind != "body"} == {(0, "header", "repeated_text"), (2, "header", "repeated_text"), (0, "footer", "page_number"), (1, "footer", "page_number")}
+    assert layout.page_bands(blocks.limit(0)).count() == 0
+
+
+def test_alike_misses_nothing(spark):
+    rng = random.Random(5)
+    words = ["report", "page", "harbour", "board", "of", "the", "2021", "part", "a"]
+    bases = [" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(25)]
+
+    def edited(t):
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(t) + 1)
+            t = t[:i] + rng.choice(["", "x", " 12", "e"]) + t[i + rng.randint(0, 2) :]
+        return " ".join(t.split())
+
+    texts = sorted({edited(b) for b in bases for _ in range(5)} - {""})
+    keys = spark.createDataFrame([(1, "header", t) for t in texts], "doc_id long, band string, norm string")
+    want = {(a, b) for a in texts for b in texts if a != b and SequenceMatcher(None, a, b).ratio() >= 0.85}
+    assert {(r.a, r.b) for r in layout.alike(keys, 0.85).collect()} == want and len(want) > 20
+
+
 def test_answer_claims_gives_all(spark, tmp_path):
     text = " ".join(f"It rose to {i}.5 units [C1]." for i in range(50))
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
